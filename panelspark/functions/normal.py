@@ -7,9 +7,10 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     """Applied to one row per contrast, never to panel rows."""
     return z.map(lambda v: None if pd.isna(v) else 0.5 * (1.0 + math.erf(v / math.sqrt(2.0))))

@@ -43,14 +43,14 @@ def daily_bars(spark, sf):
 
 @query
 def adjusted_bars(spark, sf):
-    return rounded(fx.adjusted(spark, sf))
+    return fx.adjusted(spark, sf)
 
 
 @query
 def one_row_per_day(spark, sf):
     """Ticks reduced to one per (symbol, date): the cheapest, then the smallest."""
     ticks = fx.ticks(spark, sf).select("symbol", "date", F.col("px").alias("close"), F.col("qty").alias("volume"))
-    return rounded(B.one_row_per_day(ticks))
+    return B.one_row_per_day(ticks)
 
 
 @query
@@ -785,7 +785,8 @@ def trend_seasonal(spark, sf):
 
 
 def _windows(spark, sf) -> DataFrame:
-    return series.forecast_windows(fx.adjusted(spark, sf).select("symbol", "date", "c"), "c", 96, 24)
+    logs = fx.adjusted(spark, sf).select("symbol", "date", F.ln("c").alias("x"))
+    return series.forecast_windows(logs, "x", 96, 24)
 
 
 @query
