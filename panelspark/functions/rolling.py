@@ -1,16 +1,27 @@
-"""Rolling expressions that are NULL until the whole window holds values.
+"""Rolling statistics that are NULL until the whole window holds values.
 
 All helpers take a window specification that is already partitioned by the series and
 ordered by time. Series windows are bounded by the calendar: bars and sentiment are
 unique per (symbol, date) before any window runs, so one symbol never has more rows
 than there are days in the modelling window, however many ticks or articles it has.
+
+A bounded frame of width w costs w updates per row and aggregate in Spark. Wide windows
+are therefore put together from two adjacent narrower ones that are already there: the
+nearer block on the row itself, the farther block fetched with ``lag`` (or ``lead``).
+Means and squared deviations of blocks merge without cancellation, and a block with a
+missing value is NULL, which makes every window containing it NULL. All stages keep the
+same partitioning and order, so they add no exchange and no sort.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+DIRECT_WIDTH = 8
+
 
 def series(*keys: str, order: str = "date") -> WindowSpec:
     return Window.partitionBy(*(keys or ("symbol",))).orderBy(order)
@@ -38,10 +49,120 @@ def whole(spec: WindowSpec) -> WindowSpec:
     return spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def when_full(value: Column, seen: Column, width: int) -> Column:
-    return F.when(seen == width, value)
+def tiling(widths: Sequence[int]) -> list[tuple[int, int, int]]:
+    """Steps (width, near, far) in build order; near 0 marks a direct frame."""
+    steps: list[tuple[int, int, int]] = []
+    built: set[int] = set()
+
+    def build(width: int) -> None:
+        if width in built:
+            return
+        pair = next(((a, width - a) for a in sorted(built, reverse=True) if width - a in built), None)
+        if width <= DIRECT_WIDTH:
+            pair = (0, 0)
+        elif pair is None:
+            near = width // 2 if width % 2 == 0 else width - 1
+            build(near)
+            if width - near not in built:
+                build(width - near)
+            pair = (near, width - near)
+        steps.append((width, *pair))
+        built.add(width)
+
+    for width in sorted(widths):
+        build(width)
+    return steps
+
+
+def mean_of(value: str, width: int) -> str:
+    return f"_{value}_mean{width}"
+
+
+def spread_of(value: str, width: int) -> str:
+    return f"_{value}_dev{width}"
+
+
+def high_of(value: str, width: int) -> str:
+    return f"_{value}_max{width}"
+
+
+def low_of(value: str, width: int) -> str:
+    return f"_{value}_min{width}"
+
+
+def joint_of(a: str, b: str, width: int) -> str:
+    return f"_{a}_{b}_joint{width}"
+
+
+def deviation(value: str, width: int) -> Column:
+    """Sample standard deviation of a full window."""
+    return F.sqrt(F.try_divide(F.col(spread_of(value, width)), F.lit(width - 1)))
+
+
+def correlation(a: str, b: str, width: int) -> Column:
+    """Correlation of a full window; NULL when one side is flat, where ``corr`` raises."""
+    return F.try_divide(F.col(joint_of(a, b, width)),
+                        F.sqrt(spread_of(a, width)) * F.sqrt(spread_of(b, width)))
+
+
+def add_windows(df: DataFrame, spec: WindowSpec, widths: Sequence[int], moments: Sequence[str] = (),
+                highs: Sequence[str] = (), lows: Sequence[str] = (),
+                pairs: Sequence[tuple[str, str]] = (), ahead: bool = False) -> DataFrame:
+    """Add statistics of full windows of every width in ``widths``.
+
+    ``moments`` get mean and sum of squared deviations, ``highs`` and ``lows`` extremes,
+    ``pairs`` the sum of joint deviations (both columns must be NULL together and be
+    listed in ``moments``). Windows end at the current row, or start after it when
+    ``ahead``. Columns carry the names of :func:`mean_of` and its siblings.
+    """
+    for width, near, far in tiling(widths):
+        if near == 0:
+            df = df.select("*", *_direct(spec, width, moments, highs, lows, pairs, ahead))
+            continue
+        shift = F.lead if ahead else F.lag
+        parts = [f(v, far) for v in moments for f in (mean_of, spread_of)]
+        parts += [high_of(v, far) for v in highs] + [low_of(v, far) for v in lows]
+        parts += [joint_of(a, b, far) for a, b in pairs]
+        fetched = df.select("*", *[shift(p, near).over(spec).alias(f"_far{p}") for p in parts])
+        df = fetched.select(*df.columns, *_merged(width, near, far, moments, highs, lows, pairs))
+    return df
+
+
+def _direct(spec, width, moments, highs, lows, pairs, ahead) -> list[Column]:
+    frame = leading(spec, width) if ahead else trailing(spec, width)
+
+    def full(value: Column, seen: str) -> Column:
+        return F.when(F.count(seen).over(frame) == width, value.over(frame))
+
+    out = []
+    for v in moments:
+        out.append(full(F.avg(v), v).alias(mean_of(v, width)))
+        out.append((full(F.var_pop(v), v) * width).alias(spread_of(v, width)))
+    out += [full(F.max(v), v).alias(high_of(v, width)) for v in highs]
+    out += [full(F.min(v), v).alias(low_of(v, width)) for v in lows]
+    out += [(full(F.covar_pop(a, b), a) * width).alias(joint_of(a, b, width)) for a, b in pairs]
+    return out
+
 
+def _merged(width, near, far, moments, highs, lows, pairs) -> list[Column]:
+    def gap(v: str) -> Column:
+        return F.col(f"_far{mean_of(v, far)}") - F.col(mean_of(v, near))
 
-def pair_correlation(cov: Column, sd_a: Column, sd_b: Column) -> Column:
-    """Correlation from its parts: NULL on a flat window, where ``corr`` raises."""
-    return F.try_divide(cov, sd_a * sd_b)
+    def both(name) -> tuple[Column, Column]:
+        return F.col(name(near)), F.col(f"_far{name(far)}")
+
+    share = near * far / width
+    out = []
+    for v in moments:
+        a, b = both(lambda w: mean_of(v, w))
+        out.append(((a * near + b * far) / width).alias(mean_of(v, width)))
+        a, b = both(lambda w: spread_of(v, w))
+        out.append((a + b + gap(v) * gap(v) * share).alias(spread_of(v, width)))
+    for values, name, pick in ((highs, high_of, F.greatest), (lows, low_of, F.least)):
+        for v in values:
+            a, b = both(lambda w: name(v, w))
+            out.append(F.when(a.isNotNull() & b.isNotNull(), pick(a, b)).alias(name(v, width)))
+    for x, y in pairs:
+        a, b = both(lambda w: joint_of(x, y, w))
+        out.append((a + b + gap(x) * gap(y) * share).alias(joint_of(x, y, width)))
+    return out

@@ -1,8 +1,8 @@
 """Causal features and forward labels of the panel.
 
-All price windows share one partitioning and one ordering, so the whole family is a
-single exchange, a single sort and two window stages: raw window aggregates first, the
-ratios built from them second.
+All price windows share one partitioning and one ordering, so the whole family runs on
+a single exchange and a single sort. Window statistics come first, wide ones merged from
+narrow ones; the ratios built from them are plain projections.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark import params
-from panelspark.functions import ranking
-from panelspark.functions.rolling import (leading, pair_correlation, series, trailing, when_full, whole)
+from panelspark.functions import ranking, rolling
+from panelspark.functions.rolling import series, whole
 
 KEYS = ("symbol", "date", "split")
 LABEL_PREFIXES = ("fwd_ret_", "fwd_vol_")
@@ -48,8 +48,8 @@ def _log_pair(bars: DataFrame) -> DataFrame:
     """Log close and log volume, each NULL unless both are there."""
     both = F.col("c").isNotNull() & F.col("v").isNotNull()
     return (bars
-            .withColumn("_lc", F.when(both, F.ln(F.greatest(F.col("c"), F.lit(params.EPS)))))
-            .withColumn("_lv", F.when(both, F.ln(F.greatest(F.col("v"), F.lit(1.0)) + 1))))
+            .withColumn("lc", F.when(both, F.ln(F.greatest(F.col("c"), F.lit(params.EPS)))))
+            .withColumn("lv", F.when(both, F.ln(F.greatest(F.col("v"), F.lit(1.0)) + 1))))
 
 
 def price_features(bars: DataFrame, lags: Sequence[int] = params.RETURN_LAGS,
@@ -63,42 +63,27 @@ def price_features(bars: DataFrame, lags: Sequence[int] = params.RETURN_LAGS,
     kept in the result.
     """
     spec = series(*keys)
-    raw: dict[str, Column] = {}
-    for k in sorted({*lags, *momenta}):
-        raw[f"_lag{k}"] = F.lag("c", k).over(spec)
-    for w in windows:
-        frame = trailing(spec, w)
-        for k in "chlv":
-            raw[f"_n_{k}{w}"] = F.count(k).over(frame)
-        raw[f"_mean_c{w}"], raw[f"_sd_c{w}"] = F.avg("c").over(frame), F.stddev_samp("c").over(frame)
-        raw[f"_mean_v{w}"], raw[f"_sd_v{w}"] = F.avg("v").over(frame), F.stddev_samp("v").over(frame)
-        raw[f"_max_h{w}"], raw[f"_min_l{w}"] = F.max("h").over(frame), F.min("l").over(frame)
-    for w in correlations:
-        frame = trailing(spec, w)
-        raw[f"_n_p{w}"] = F.count("_lc").over(frame)
-        raw[f"_cov{w}"] = F.covar_samp("_lc", "_lv").over(frame)
-        raw[f"_sd_lc{w}"] = F.stddev_samp("_lc").over(frame)
-        raw[f"_sd_lv{w}"] = F.stddev_samp("_lv").over(frame)
-    staged = (_log_pair(bars) if correlations else bars).select(
-        "*", *[column.alias(name) for name, column in raw.items()])
+    shifted = [F.lag("c", k).over(spec).alias(f"_lag{k}") for k in sorted({*lags, *momenta})]
+    staged = bars.select("*", *shifted)
+    staged = rolling.add_windows(staged, spec, windows, moments="cv", highs="h", lows="l")
+    if correlations:
+        staged = rolling.add_windows(_log_pair(staged), spec, correlations, moments=("lc", "lv"),
+                                     pairs=[("lc", "lv")])
 
     c, v = F.col("c"), F.col("v") + F.lit(params.EPS)
     out = kline_shape()
     for k in lags:
         out[f"RET_{k}"] = F.ln(c / F.col(f"_lag{k}"))
     for w in windows:
-        def full(name: str, of: str) -> Column:
-            return when_full(F.col(f"_{name}{w}"), F.col(f"_n_{of}{w}"), w)
-        low, high = full("min_l", "l"), full("max_h", "h")
-        out[f"MA_{w}"], out[f"STD_{w}"] = full("mean_c", "c") / c, full("sd_c", "c") / c
+        high, low = F.col(rolling.high_of("h", w)), F.col(rolling.low_of("l", w))
+        out[f"MA_{w}"] = F.col(rolling.mean_of("c", w)) / c
+        out[f"STD_{w}"] = rolling.deviation("c", w) / c
         out[f"MAX_{w}"], out[f"MIN_{w}"] = high / c, low / c
         out[f"RSV_{w}"] = F.try_divide(c - low, high - low + F.lit(params.EPS))
-        out[f"VMA_{w}"] = F.try_divide(full("mean_v", "v"), v)
-        out[f"VSTD_{w}"] = F.try_divide(full("sd_v", "v"), v)
+        out[f"VMA_{w}"] = F.try_divide(F.col(rolling.mean_of("v", w)), v)
+        out[f"VSTD_{w}"] = F.try_divide(rolling.deviation("v", w), v)
     for w in correlations:
-        out[f"CORR_{w}"] = when_full(
-            pair_correlation(F.col(f"_cov{w}"), F.col(f"_sd_lc{w}"), F.col(f"_sd_lv{w}")),
-            F.col(f"_n_p{w}"), w)
+        out[f"CORR_{w}"] = rolling.correlation("lc", "lv", w)
     for w in momenta:
         out[f"MOM_{w}"] = c / F.col(f"_lag{w}") - 1
     kept = [k for k in bars.columns if k not in out]
@@ -108,17 +93,13 @@ def price_features(bars: DataFrame, lags: Sequence[int] = params.RETURN_LAGS,
 def forward_labels(bars: DataFrame, horizons: Sequence[int] = params.HORIZONS) -> DataFrame:
     """Forward log return, and sample deviation of the next H one-day log returns."""
     spec = series("symbol")
-    stepped = bars.withColumn("_r1", F.ln(F.col("c") / F.lag("c", 1).over(spec)))
-    raw: dict[str, Column] = {}
-    for h in horizons:
-        raw[f"_lead{h}"] = F.lead("c", h).over(spec)
-        raw[f"_n{h}"] = F.count("_r1").over(leading(spec, h))
-        raw[f"_sd{h}"] = F.stddev_samp("_r1").over(leading(spec, h))
-    staged = stepped.select("*", *[column.alias(name) for name, column in raw.items()])
+    stepped = bars.select("*", F.ln(F.col("c") / F.lag("c", 1).over(spec)).alias("r1"),
+                          *[F.lead("c", h).over(spec).alias(f"_lead{h}") for h in horizons])
+    staged = rolling.add_windows(stepped, spec, horizons, moments=["r1"], ahead=True)
     labels = []
     for h in horizons:
         labels.append(F.ln(F.col(f"_lead{h}") / F.col("c")).alias(f"fwd_ret_{h}"))
-        labels.append(when_full(F.col(f"_sd{h}"), F.col(f"_n{h}"), h).alias(f"fwd_vol_{h}"))
+        labels.append(rolling.deviation("r1", h).alias(f"fwd_vol_{h}"))
     return staged.select(*bars.columns, *labels)
 
 
@@ -135,17 +116,15 @@ def sentiment_features(joined: DataFrame, keys: Sequence[str] = ("symbol",)) ->
     """
     spec = series(*keys)
     s = F.col("sent_decay")
-    staged = joined.select(
-        "*", F.lag(s, 1).over(spec).alias("_before"),
-        *[f(s).over(trailing(spec, w)).alias(f"_{n}{w}")
-          for w in (5, 20) for n, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_samp))],
-        F.max("_matched").over(whole(spec)).alias("_any"))
+    staged = joined.select("*", F.lag(s, 1).over(spec).alias("_before"),
+                           F.max("_matched").over(whole(spec)).alias("_any"))
+    staged = rolling.add_windows(staged, spec, (5, 20), moments=["sent_decay"])
     covered = F.col("_any") == 1
     out = {
         "SENT": s, "SENT_DELTA": s - F.col("_before"),
-        "SENT_MA_5": when_full(F.col("_mean5"), F.col("_n5"), 5),
-        "SENT_MA_20": when_full(F.col("_mean20"), F.col("_n20"), 20),
-        "SENT_STD_20": when_full(F.col("_sd20"), F.col("_n20"), 20),
+        "SENT_MA_5": F.col(rolling.mean_of("sent_decay", 5)),
+        "SENT_MA_20": F.col(rolling.mean_of("sent_decay", 20)),
+        "SENT_STD_20": rolling.deviation("sent_decay", 20),
         "DSN": F.col("days_since_news"),
         "NEWS_INT": F.when(covered, F.log1p(F.coalesce(F.col("news_intensity"), F.lit(0)))),
         "SENT_DISP": F.when(covered, F.coalesce(F.col("sent_dispersion"), F.lit(0.0))),

@@ -220,7 +220,7 @@ def seed_dispersion(cells: DataFrame, test_dates: DataFrame, arm: str = "risk",
                     date: str = "date_id", symbol: str = "sym_id") -> DataFrame:
     """Net Sharpe per seed; descriptive only."""
     kept = cells.where(F.col("arm") == arm).join(F.broadcast(test_dates.select(date)), date, "left_semi")
-    per_seed = average_scores(kept, ["model", "seed"], date, symbol)
+    per_seed = durable(average_scores(kept, ["model", "seed"], date, symbol))
     dense = portfolio.dense_time(per_seed, ["model", "seed"], date)
     net = portfolio.hard_portfolio(dense, ["model", "seed"], date=date, symbol=symbol)
     return (net.groupBy("model", "seed").agg(portfolio.sharpe("net", spacing).alias("sharpe"),
@@ -234,8 +234,8 @@ def quicklook(cells: DataFrame, test_dates: DataFrame, spacing: int = 5, min_row
     keys = ["model", "arm"]
     files = cells.groupBy(*keys, "seed", "fold").agg(F.lit(1).alias("_one")).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("cells"))
-    scores = average_scores(cells, keys, date, symbol).join(
-        F.broadcast(test_dates.select(date)), date, "left_semi")
+    scores = durable(average_scores(cells, keys, date, symbol).join(
+        F.broadcast(test_dates.select(date)), date, "left_semi"))
     size = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     net = portfolio.hard_portfolio(portfolio.dense_time(scores, keys, date), keys, date=date, symbol=symbol)
     perf = net.groupBy(*keys).agg(portfolio.sharpe("net", spacing).alias("sharpe"))

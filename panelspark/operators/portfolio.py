@@ -36,52 +36,67 @@ def soft_weights(scores: DataFrame, tau: float, by: Sequence[str] = (),
                  direct_rows: int = ranking.DIRECT_ROWS) -> DataFrame:
     """Sigmoid weights around the decile cut-off, summing to one per date.
 
-    The cut-off and spread are one row per date and set; they are joined back without a
-    hint, so adaptive execution decides by measured size.
+    Cut-off, spread and total are windows over the date while the largest cross-section
+    is measured to fit a task. Otherwise they are one aggregated row per date and set,
+    joined back without a hint, so adaptive execution decides by measured size.
     """
     keys = [*by, date]
-    cut = ranking.quantiles(scores, keys, score, [1.0 - fraction], "_q", direct_rows)
-    spread = scores.groupBy(*keys).agg((F.stddev_pop(score) + F.lit(params.WEIGHT_EPS)).alias("_sd"),
-                                       F.count(F.lit(1)).alias("_n"))
-    z = (F.col(score) - F.col("_q")[0]) / (F.lit(tau) * F.col("_sd"))
-    z = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z))
-    raw = scores.join(cut.join(spread, keys), keys).withColumn("_w", 1 / (1 + F.exp(-z)))
-    total = raw.groupBy(*keys).agg((F.sum("_w") + F.lit(params.WEIGHT_EPS)).alias("_sum"))
+    eps = F.lit(params.WEIGHT_EPS)
+    if ranking.group_sizes(scores, keys)[1] <= direct_rows:
+        spec = Window.partitionBy(*keys)
+        placed = scores.select(
+            "*", F.percentile(score, F.lit(1.0 - fraction)).over(spec).alias("_q"),
+            (F.stddev_pop(score).over(spec) + eps).alias("_sd"), F.count(F.lit(1)).over(spec).alias("_n"))
+        raw = placed.withColumn("_w", _sigmoid(score, tau))
+        summed = raw.withColumn("_sum", F.sum("_w").over(spec) + eps)
+    else:
+        cut = ranking.quantiles(scores, keys, score, [1.0 - fraction], "_cut", direct_rows)
+        spread = scores.groupBy(*keys).agg((F.stddev_pop(score) + eps).alias("_sd"),
+                                           F.count(F.lit(1)).alias("_n"))
+        cut = cut.join(spread, keys).withColumn("_q", F.col("_cut")[0]).drop("_cut")
+        raw = scores.join(cut, keys).withColumn("_w", _sigmoid(score, tau))
+        summed = raw.join(raw.groupBy(*keys).agg((F.sum("_w") + eps).alias("_sum")), keys)
     weight = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise(F.col("_w") / F.col("_sum"))
-    return raw.join(total, keys).withColumn("w", weight).drop("_q", "_sd", "_n", "_w", "_sum")
+    return summed.withColumn("w", weight).drop("_q", "_sd", "_n", "_w", "_sum")
 
 
-def turnover(weights: DataFrame, by: Sequence[str] = (), date: str = "t", symbol: str = "symbol") -> DataFrame:
-    """One-way turnover per date against the previous date, names left and entered included.
-
-    Each weight is stated on its own date and, negated, on the next one; their sums are
-    the changes. ``date`` must be a consecutive integer code. The first date has none.
-    """
-    keys = [*by, date]
-    here = weights.select(*keys, symbol, F.col("w").alias("_w"))
-    gone = weights.select(*by, (F.col(date) + 1).alias(date), symbol, (-F.col("w")).alias("_w"))
-    change = here.unionByName(gone).groupBy(*keys, symbol).agg(F.sum("_w").alias("_w"))
-    return change.groupBy(*keys).agg((F.sum(F.abs("_w")) * F.lit(0.5)).alias("turnover"))
+def _sigmoid(score: str, tau: float) -> Column:
+    z = (F.col(score) - F.col("_q")) / (F.lit(tau) * F.col("_sd"))
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z))))
 
 
 def net_returns(weights: DataFrame, cost: float | Column = params.ONE_WAY_COST, by: Sequence[str] = (),
                 date: str = "t", symbol: str = "symbol", y: str = "y") -> DataFrame:
-    """gross, turnover and net per date; the first rebalance is not charged."""
+    """gross, one-way turnover and net per date; the first rebalance is not charged.
+
+    Each weight is stated on its own date and, negated, on the next one: the sums per
+    name are the changes, names entered and left included, and the weighted returns add
+    up alongside. One reading of the weights and two combining aggregations, no join.
+    ``date`` must be a consecutive integer code.
+    """
     keys = [*by, date]
     cost = F.lit(cost) if not isinstance(cost, Column) else cost
-    gross = weights.groupBy(*keys).agg(F.sum(F.col("w") * F.col(y)).alias("gross"))
-    moved = gross.join(turnover(weights, by, date, symbol), keys)
+    own = F.struct(F.col(date).cast("long").alias(date), F.col("w").alias("_w"),
+                   (F.col("w") * F.col(y)).alias("_wy"), F.lit(1).alias("_own"))
+    gone = F.struct((F.col(date) + 1).cast("long").alias(date), (-F.col("w")).alias("_w"),
+                    F.lit(None).cast("double").alias("_wy"), F.lit(0).alias("_own"))
+    stated = weights.select(*by, symbol, F.explode(F.array(own, gone)).alias("_s")).select(*by, symbol, "_s.*")
+    change = stated.groupBy(*keys, symbol).agg(F.sum("_w").alias("_w"), F.sum("_wy").alias("_wy"),
+                                               F.max("_own").alias("_own"))
+    per_date = change.groupBy(*keys).agg(
+        F.sum("_wy").alias("gross"), (F.sum(F.abs("_w")) * F.lit(0.5)).alias("_moved"),
+        F.max("_own").alias("_own")).where(F.col("_own") == 1)
     spec = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     first = F.col(date) == F.min(date).over(spec)
-    charged = F.when(first, F.lit(0.0)).otherwise(F.col("turnover"))
-    return (moved.withColumn("turnover", charged)
-            .withColumn("net", F.col("gross") - cost * F.col("turnover")))
+    return (per_date.withColumn("turnover", F.when(first, F.lit(0.0)).otherwise(F.col("_moved")))
+            .withColumn("net", F.col("gross") - cost * F.col("turnover"))
+            .select(*keys, "gross", "turnover", "net"))
 
 
 def dense_time(scores: DataFrame, by: Sequence[str] = (), date: str = "t") -> DataFrame:
     """Re-number the dates of each score set from 0 without gaps.
 
-    Needed before :func:`turnover` when a set covers a subset of the dates. The lookup
+    Needed before :func:`net_returns` when a set covers a subset of the dates. The lookup
     has one row per date and set.
     """
     keys = [*by, date]

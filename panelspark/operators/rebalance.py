@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark import params
 from panelspark.functions import ranking
-from panelspark.functions.rolling import series, trailing
+from panelspark.functions.rolling import series, so_far
 from panelspark.operators.sampling import numbered_dates
 
 
@@ -17,19 +17,20 @@ def eligible(panel: DataFrame, features: Sequence[str], label: str, splits: Sequ
              lookback: int = params.LOOKBACK_ROWS) -> DataFrame:
     """Rows with a label and ``lookback`` complete rows of features behind them.
 
-    Completeness is a running count of bad rows, so no window array is built.
+    A running maximum remembers the last incomplete row, so the cost does not depend on
+    the length of the look-back.
     """
     bad = F.lit(False)
     for f in features:
         bad = bad | F.col(f).isNull()
     spec = series("symbol")
-    staged = panel.select(
-        "*", F.row_number().over(spec).alias("_row"),
-        F.sum(bad.cast("int")).over(trailing(spec, lookback)).alias("_bad"))
-    keep = (F.col("_row") >= lookback) & (F.col("_bad") == 0) & F.col(label).isNotNull()
+    numbered = panel.withColumn("_row", F.row_number().over(spec))
+    staged = numbered.withColumn("_last_bad", F.max(F.when(bad, F.col("_row"))).over(so_far(spec)))
+    clean_rows = F.col("_row") - F.coalesce("_last_bad", F.lit(0))
+    keep = (clean_rows >= lookback) & F.col(label).isNotNull()
     if splits is not None:
         keep = keep & F.col("split").isin(*splits)
-    return staged.where(keep).drop("_bad", "_row")
+    return staged.where(keep).drop("_last_bad", "_row")
 
 
 def rebalance_dates(rows: DataFrame, spacing: int) -> DataFrame:

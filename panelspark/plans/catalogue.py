@@ -324,7 +324,7 @@ def sentiment_daily(spark, sf):
 @query
 def sentiment_gates(spark, sf):
     return rounded(quality.sentiment_gates(durable(_sentiment(spark, sf)), fx.news(spark, sf),
-                                           fx.sessions(spark, sf), date(1998, 3, 1)))
+                                           fx.sessions(spark, sf), date(1998, 3, 1)), keep=("threshold",))
 
 
 @query

@@ -15,6 +15,7 @@ from panelspark.operators import features as X
 from panelspark.operators import folds as C
 from panelspark.operators import rebalance as R
 from panelspark.params import Floors, PanelSpec, Splits
+from panelspark.session import durable
 from panelspark.sources.tables import table
 
 SPLITS = Splits(start=date(1995, 1, 1), train=(date(1996, 1, 1), date(1998, 12, 31)),
@@ -100,8 +101,12 @@ def model_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rebalance_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(rows on rebalance dates with t and y, the rebalance dates)."""
-    rows = R.eligible(model_panel(spark, folder), MODEL_FEATURES, "fwd_ret_5", lookback=SPEC.lookback)
+    """(rows on rebalance dates with t and y, the rebalance dates).
+
+    Eligible rows are stored once: both results, and the size checks of the operators
+    that follow, read the stored table.
+    """
+    rows = durable(R.eligible(model_panel(spark, folder), MODEL_FEATURES, "fwd_ret_5", lookback=SPEC.lookback))
     dates = R.rebalance_dates(rows, SPEC.horizon)
     return R.on_dates(rows, dates).withColumn("y", F.col("fwd_ret_5")), dates
 
