@@ -115,10 +115,15 @@ def middle_rank() -> Column:
 
 
 def average_rank(df: DataFrame, group: Sequence[str], value: str, rank: str = "rank",
-                 size: str = "ranked_rows", direct_rows: int = DIRECT_ROWS) -> DataFrame:
-    """Rank with ties averaged among the non-NULL values of each group."""
+                 size: str = "ranked_rows", direct_rows: int = DIRECT_ROWS,
+                 sizes: tuple[int, int] | None = None) -> DataFrame:
+    """Rank with ties averaged among the non-NULL values of each group.
+
+    ``sizes`` passes on a result of :func:`group_sizes` when several columns of the same
+    rows are ranked.
+    """
     group = list(group)
-    rows, largest = group_sizes(df, group)
+    rows, largest = sizes or group_sizes(df, group)
     if largest <= direct_rows:
         spec = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
         ordered = spec.orderBy(F.col(value).asc_nulls_last())

@@ -144,8 +144,9 @@ def cross_sectional_ranks(panel: DataFrame, sources: Sequence[str] = params.XS_S
     Ranks come before normalisation and use the day's values only. The date group is
     as large as the market, so ranking splits it when it outgrows one task.
     """
+    sizes = ranking.group_sizes(panel, by)
     for name in sources:
-        panel = (ranking.average_rank(panel, by, name, "_rank", "_ranked", direct_rows)
+        panel = (ranking.average_rank(panel, by, name, "_rank", "_ranked", direct_rows, sizes)
                  .withColumn(f"XS_{name}", F.col("_rank") / F.col("_ranked"))
                  .drop("_rank", "_ranked"))
     return panel

@@ -116,19 +116,19 @@ def threshold_grid(base: Floors, axes: Mapping[str, Iterable], joint: Mapping[st
 def sensitivity(candidates: DataFrame, base: Floors, grid: list[tuple[str, Floors]]) -> DataFrame:
     """Members per grid point and Jaccard overlap with the base universe.
 
-    Every grid point is three conditional counts in one aggregation, so tickers are
+    Every grid point is two conditional counts in one aggregation, so tickers are
     read once and never multiplied by the grid.
     """
-    inside = is_member(base)
-    counts = []
-    for i, (_, floors) in enumerate(grid):
-        chosen = is_member(floors)
-        counts += [F.count_if(chosen).alias(f"n{i}"), F.count_if(chosen & inside).alias(f"both{i}"),
-                   F.count_if(chosen | inside).alias(f"any{i}")]
-    one = candidates.agg(*counts)
+    marked = candidates.select(is_member(base).alias("base"),
+                               *[is_member(floors).alias(f"m{i}") for i, (_, floors) in enumerate(grid)])
+    counts = [F.count_if("base").alias("base")]
+    for i in range(len(grid)):
+        counts += [F.count_if(f"m{i}").alias(f"n{i}"), F.count_if(F.col(f"m{i}") & F.col("base")).alias(f"both{i}")]
+    one = marked.agg(*counts)
+    either = [F.col(f"n{i}") + F.col("base") - F.col(f"both{i}") for i in range(len(grid))]
     rows = F.array(*[F.struct(
         F.lit(name).alias("point"), F.col(f"n{i}").alias("n"),
-        F.coalesce(F.round(F.try_divide(F.col(f"both{i}"), F.col(f"any{i}")), 3), F.lit(1.0)).alias("jaccard"))
+        F.coalesce(F.round(F.try_divide(F.col(f"both{i}"), either[i]), 3), F.lit(1.0)).alias("jaccard"))
         for i, (name, _) in enumerate(grid)])
     return one.select(F.explode(rows).alias("r")).select("r.*")
 

@@ -15,6 +15,7 @@ from panelspark.operators import (alignment, articles, bars as B, features as X,
                                   normalise as N, portfolio as P, profiles, quality, rebalance as R, ridge,
                                   sampling, series, universe as U)
 from panelspark.plans import fixtures as fx
+from panelspark.plans import research
 from panelspark.session import durable
 from panelspark.sources.tables import table
 from panelspark.streaming import news as stream
@@ -389,29 +390,21 @@ def xs_rank_features(spark, sf):
     return _only(X.cross_sectional_ranks(wide.select("symbol", "date", *params.XS_SOURCES)), "XS_")
 
 
-def raw_panel(spark, sf) -> DataFrame:
-    """All features, labels and split tags before normalisation."""
-    wide = X.sentiment_features(_joined(spark, sf))
-    wide = X.forward_labels(X.price_features(wide))
-    ranked = X.cross_sectional_ranks(wide.drop(*"ohlv"))
-    return B.tag_split(ranked.drop("c"), fx.SPLITS)
-
-
-def _scaled(panel: DataFrame) -> list[str]:
-    return [c for c in X.feature_columns(panel.columns) if c != "HAS_NEWS"]
+def _panel_inputs(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Stored bars, which several steps read, and the sentiment of their sessions."""
+    return durable(fx.adjusted(spark, sf)), _sentiment(spark, sf)
 
 
 @query
 def train_norm_stats(spark, sf):
-    panel = raw_panel(spark, sf)
-    return rounded(N.train_stats(panel, _scaled(panel)))
+    panel = research.raw_panel(*_panel_inputs(spark, sf), fx.SPLITS)
+    return rounded(N.train_stats(panel, research.scaled_features(panel.columns)))
 
 
 @query
 def normalised_panel(spark, sf):
     """The whole panel: 65 z-scored features, the news flag and ten labels."""
-    panel = raw_panel(spark, sf)
-    stored = X.to_storage_types(N.fit_apply(panel, _scaled(panel)))
+    stored = research.build_panel(*_panel_inputs(spark, sf), fx.SPLITS)
     return rounded(stored, 3).withColumn("HAS_NEWS", F.col("HAS_NEWS").cast("int"))
 
 
