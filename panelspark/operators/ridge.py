@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STD_EPS = 1e-8
@@ -24,7 +24,9 @@ def segments(folds: DataFrame, held_out: str = "test") -> DataFrame:
     def listed(role: str):
         return F.array_sort(F.collect_set(F.when(F.col("role") == role, F.col("fold"))))
     roles = folds.groupBy("date").agg(listed("train").alias("train_in"), listed(held_out).alias("held_in"))
-    return roles.withColumn("segment", F.xxhash64("train_in", "held_in"))
+    part = F.concat_ws("|", F.array_join("train_in", ","), F.array_join("held_in", ","))
+    spec = Window.partitionBy(F.lit(0)).orderBy(part)  # one row per rebalance date
+    return roles.withColumn("segment", F.dense_rank().over(spec).cast("long"))
 
 
 def _augmented_gram(rows: DataFrame, key: str, features: Sequence[str], y: str) -> DataFrame:

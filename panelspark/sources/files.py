@@ -35,14 +35,17 @@ def read_prices(spark: SparkSession, folder: str, problems: DataFrame | None = N
     return rows
 
 
-def list_price_files(spark: SparkSession, folder: str) -> DataFrame:
+def list_price_files(spark: SparkSession, folder: str, expected: DataFrame | None = None) -> DataFrame:
     """(ticker, lines, problem) per file, also for empty and header-less ones.
 
     Only names come from the listing; contents are counted as text lines. A file whose
     header lacks a needed column carries a problem text instead of stopping the job.
+    Spark does not list files of zero bytes; tickers of ``expected`` cover those.
     """
     names = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
              .select(F.regexp_extract("path", r"([^/]*)\.csv$", 1).alias("ticker")))
+    if expected is not None:
+        names = names.unionByName(expected.select("ticker")).distinct()
     lines = (spark.read.option("pathGlobFilter", "*.csv").text(folder)
              .select(_ticker().alias("ticker"), F.trim("value").alias("line"))
              .where(F.col("line") != ""))
