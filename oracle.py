@@ -285,6 +285,11 @@ SQL["title_body_units"] = f"""SELECT round({_spearman('ra', 'rb')}, 6) AS ic, co
   WHERE length(body) > 200 AND title IS NOT NULL))"""
 SQL["title_join"] = """SELECT a.symbol, count(*) AS rows, count(b.title) AS titles FROM cleaned a
  LEFT JOIN cleaned b ON a.symbol = b.symbol AND a.ts = b.ts GROUP BY a.symbol"""
+SQL["scored_titles"] = f"""SELECT symbol, date, ntitle, nurl, title, round((p - n)::DOUBLE, 4) AS sent_signed FROM (
+ SELECT *, CAST(exp(a) / (exp(a) + exp(b) + 1) AS FLOAT) AS p, CAST(exp(b) / (exp(a) + exp(b) + 1) AS FLOAT) AS n FROM (
+  SELECT *, {_hits('title', cat.POSITIVE)} AS a, {_hits('title', cat.NEGATIVE)} AS b FROM cleaned
+  QUALIFY row_number() OVER (PARTITION BY symbol, date, ntitle, nurl
+   ORDER BY CASE src WHEN 'allext' THEN 1 ELSE 2 END, ts, title, has_body) = 1))"""
 SQL["date_only_fraction"] = """SELECT year(date) AS year, count(*) AS articles,
  round(avg(CASE WHEN substr(ts, 12, 8) = '00:00:00' THEN 1.0 ELSE 0.0 END), 6) AS frac FROM news GROUP BY 1"""
 SQL["sampled_symbols"] = """SELECT symbol FROM (SELECT DISTINCT symbol FROM sess)
@@ -637,6 +642,15 @@ SQL["performance"] = f"""SELECT round({_sharpe('net')}, 6) AS sharpe,
  SELECT *, greatest(1, max(wealth) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING)) AS peak FROM (
   SELECT t, net, exp(sum(CASE WHEN net > -1 THEN ln(1 + net) END) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING)) AS wealth
   FROM momnet))"""
+SQL["buy_and_hold"] = "SELECT t, round(avg(y), 6) AS gross, count(*) AS names FROM mom GROUP BY t"
+CTE["daygross"] = """SELECT date, avg(fwd_ret_5) AS gross FROM (SELECT *, row_number() OVER (PARTITION BY date
+ ORDER BY MOM_20 DESC, symbol) AS p, greatest(1, ceil(0.1::DOUBLE * count(*) OVER (PARTITION BY date))) AS k FROM elig)
+ WHERE p <= k GROUP BY date"""
+CTE["centred"] = """SELECT gross, gross - avg(gross) OVER () AS e, row_number() OVER (ORDER BY date) AS i FROM daygross"""
+SQL["newey_west"] = """SELECT round(mean, 6) AS mean, round(se, 6) AS se, n, round(mean / se, 6) AS t FROM (
+ SELECT (SELECT avg(gross) FROM centred) AS mean, (SELECT count(*) FROM centred) AS n,
+  sqrt(sum(CASE WHEN k = 0 THEN g ELSE 2 * (1 - k / 5::DOUBLE) * g END)) / (SELECT count(*) FROM centred) AS se FROM (
+   SELECT a.i - b.i AS k, sum(a.e * b.e) AS g FROM centred a JOIN centred b ON a.i - b.i BETWEEN 0 AND 4 GROUP BY 1))"""
 SQL["objective_diagnostics"] = """SELECT round(l_sr, 6) AS l_sr, round(l_anchor, 6) AS l_anchor, round(l_nll, 6) AS l_nll,
  round(0.7 * l_sr + 0.5 * l_anchor + 0.5 * l_nll, 6) AS total FROM
  (SELECT -avg(net) / (stddev_samp(net) + 1e-8) AS l_sr FROM softnet),

@@ -107,13 +107,23 @@ def long_bodies(raw: DataFrame) -> DataFrame:
                     F.substring(body, 1, params.BODY_SCORE_CHARS).alias("body")))
 
 
-def join_titles(scored: DataFrame, corpus: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
-    """Scored rows with corpus titles.
+def join_titles(scored: DataFrame, corpus: DataFrame,
+                keys: Sequence[str] = ("symbol", "ts", "ntitle", "nurl")) -> DataFrame:
+    """Scored rows with their corpus title, matched on a key that is unique in the corpus."""
+    return scored.join(corpus.select(*keys, "title"), list(keys), "left")
+
 
-    (symbol, ts) is date-only and not unique, so rows fan out as they do in the
-    original audit; pass a row id in ``keys`` for a one-to-one match.
+def title_fan_out(scored: DataFrame, corpus: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
+    """What a left join of scored rows to titles on a non-unique key yields, per key.
+
+    (symbol, ts) is a bare date, so every article of a day meets every title of that day.
+    The pairs are counted from both sides' counts and never made.
     """
-    return scored.join(corpus.select(*keys, "title"), list(keys), "left")
+    left = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    right = corpus.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pairs"), F.count("title").alias("_titles"))
+    joined = left.join(right, list(keys), "left")
+    return joined.select(*keys, (F.col("_rows") * F.coalesce("_pairs", F.lit(1))).alias("rows"),
+                         (F.col("_rows") * F.coalesce("_titles", F.lit(0))).alias("titles"))
 
 
 Scorer = Callable[[list[str]], np.ndarray]

@@ -282,6 +282,25 @@ def selection_metric(scores: DataFrame, arm: str, spacing: int = 5, date: str =
     return net.agg(portfolio.sharpe("net", spacing).alias("metric"))
 
 
+def newey_west(returns: DataFrame, value: str, lags: int, by: Sequence[str] = (), date: str = "date") -> DataFrame:
+    """Mean of an overlapping return series with its Newey-West standard error.
+
+    Bartlett weights on ``lags`` autocovariances, which are lagged products of the
+    centred series: one row per date and set, one window stage.
+    """
+    spec = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    centred = returns.withColumn("_e", F.col(value) - F.avg(value).over(spec))
+    lagged = centred.select("*", *[F.lag("_e", k).over(spec.orderBy(date)).alias(f"_e{k}")
+                                   for k in range(1, lags + 1)])
+    total = F.sum(F.col("_e") * F.col("_e"))
+    for k in range(1, lags + 1):
+        total = total + F.lit(2 * (1 - k / (lags + 1))) * F.coalesce(F.sum(F.col("_e") * F.col(f"_e{k}")), F.lit(0.0))
+    n = F.count(F.lit(1))
+    out = lagged.groupBy(*by).agg(F.avg(value).alias("mean"), (F.sqrt(F.greatest(total, F.lit(0.0))) / n).alias("se"),
+                                  n.alias("n"))
+    return out.withColumn("t", F.try_divide("mean", "se"))
+
+
 def false_discovery(tests: DataFrame, p: str = "p", level: float = 0.05) -> DataFrame:
     """Benjamini-Hochberg: adds rank, adjusted p and rejection. One row per test comes in."""
     spec = Window.partitionBy(F.lit(0))

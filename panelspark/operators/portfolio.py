@@ -93,6 +93,11 @@ def net_returns(weights: DataFrame, cost: float | Column = params.ONE_WAY_COST,
             .select(*keys, "gross", "turnover", "net"))
 
 
+def buy_and_hold(scores: DataFrame, by: Sequence[str] = (), date: str = "t", y: str = "y") -> DataFrame:
+    """Equally weighted return of every name on each date, the passive baseline."""
+    return scores.groupBy(*by, date).agg(F.avg(y).alias("gross"), F.count(F.lit(1)).alias("names"))
+
+
 def dense_time(scores: DataFrame, by: Sequence[str] = (), date: str = "t") -> DataFrame:
     """Re-number the dates of each score set from 0 without gaps.
 

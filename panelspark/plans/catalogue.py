@@ -171,10 +171,10 @@ def cutoff_counts(spark, sf):
 
 
 def _audit(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    members = _members(spark, sf)
+    members = durable(_members(spark, sf))
     prices = fx.ticks(spark, sf).select(F.col("symbol").cast("string").alias("ticker"), "date",
                                         F.col("px").alias("close"), F.col("qty").alias("volume"))
-    calendar = U.reference_calendar(prices, members, 40)
+    calendar = durable(U.reference_calendar(prices, members, 40))
     return members, calendar, U.audit(prices, members, calendar, max_gap=30, min_coverage=0.2)
 
 
@@ -277,11 +277,18 @@ def title_body_units(spark, sf):
 
 @query
 def title_join(spark, sf):
-    """Scored rows against titles on (symbol, ts), which fans out; rows per symbol."""
+    """Rows per symbol of the title join on (symbol, ts), counted without making pairs."""
     clean = _clean(spark, sf)
-    scored = clean.select("symbol", "ts")
-    return articles.join_titles(scored, clean).groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("title").alias("titles"))
+    return articles.title_fan_out(clean.select("symbol", "ts"), clean).groupBy("symbol").agg(
+        F.sum("rows").alias("rows"), F.sum("titles").alias("titles"))
+
+
+@query
+def scored_titles(spark, sf):
+    """Distinct articles scored, then matched one to one with their titles."""
+    unique = durable(articles.strict_dedup(_clean(spark, sf), fx.SOURCES))
+    scored = articles.score_text(unique, "title", _scorer).select(*articles.STRICT_KEY, "sent_signed")
+    return rounded(articles.join_titles(scored, unique, articles.STRICT_KEY), 4)
 
 
 @query
@@ -574,6 +581,19 @@ def performance(spark, sf):
     return rounded(P.performance(P.hard_portfolio(_momentum(spark, sf))))
 
 
+@query
+def buy_and_hold(spark, sf):
+    return rounded(P.buy_and_hold(_momentum(spark, sf)))
+
+
+@query
+def newey_west(spark, sf):
+    """Daily (not H-spaced) decile returns overlap, so their mean gets a lag of H - 1."""
+    rows = _eligible(spark, sf).select("date", "symbol", F.col("fwd_ret_5").alias("y"), F.col("MOM_20").alias("score"))
+    daily = P.top_fraction(durable(rows), date="date").groupBy("date").agg(F.avg("y").alias("gross"))
+    return rounded(I.newey_west(daily, "gross", lags=fx.SPEC.horizon - 1))
+
+
 @query
 def objective_diagnostics(spark, sf):
     scores = _momentum(spark, sf).withColumn("logvar", F.ln(F.col("STD_20") * F.col("STD_20")))
