@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, compression, external_shuffle, language, string_kernel, token_blocks, token_counts
+from panelspark.llm import bpe, compression, external_shuffle, jaccard, language, string_kernel, token_blocks, token_counts
 from panelspark.llm.common import documents, held_out
 
 
@@ -56,6 +56,10 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, folder))
+
+
 QUERIES = {f.__name__: f for f in (op1_rans_token_blocks, op2_compression_bands, op3_string_kernel_toxicity, op4_external_shuffle,
-                                   op5_language_families, op7_two_tier_bpe, op8_token_counts)}
+                                   op5_language_families, op7_two_tier_bpe, op8_token_counts, op9_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
