@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, compression, external_shuffle, jaccard, language, string_kernel, token_blocks, token_counts
+from panelspark.llm import bpe, compression, external_shuffle, gated_lm, jaccard, language, string_kernel, templates, token_blocks, token_counts
 from panelspark.llm.common import documents, held_out
 
 
@@ -60,6 +60,16 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, folder))
 
 
+def op6_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op10_gated_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    scored = gated_lm.language_model(documents(spark, folder), held_out(7, 2))
+    return scored.select("doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {f.__name__: f for f in (op1_rans_token_blocks, op2_compression_bands, op3_string_kernel_toxicity, op4_external_shuffle,
-                                   op5_language_families, op7_two_tier_bpe, op8_token_counts, op9_jaccard_join)}
+                                   op5_language_families, op6_template_decontamination, op7_two_tier_bpe, op8_token_counts, op9_jaccard_join,
+                                   op10_gated_language_model)}
 ORACLE_SQL: dict[str, str] = {}
