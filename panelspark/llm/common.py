@@ -112,7 +112,7 @@ class ChunkMemo:
     """
 
     def __init__(self, cut: Callable[[str], list[str]], many: Callable[[list[str]], list], join: Callable[[list], object],
-                 whole: Callable[[str], object], special: list[str] | tuple[str, ...] = (), limit: int = 600_000):
+                 whole: Callable[[str], object], special: list[str] | tuple[str, ...] = (), limit: int = 1_200_000):
         self.cut, self.many, self.join, self.whole, self.special, self.limit = cut, many, join, whole, special, limit
         self.pre: dict[str, object] = {}
         self.inner: dict[str, object] = {}

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import ship, stored, text_bytes
 
-HEAD, CLASS_SIZE, TAILS, HIDDEN, WINDOW, STREAMS = 1024, 32, 16, 16, 20, 256
+HEAD, CLASS_SIZE, TAILS, HIDDEN, WINDOW, STREAMS = 1024, 32, 16, 12, 20, 512
 END = b"\n"  # no word has white space in it
-HEAVY = 1 << 15  # a word with over 1 / HEAVY of all tokens is heavy; there are fewer than HEAVY
+HEAVY = 1 << 18  # a word with over 1 / HEAVY of all tokens is heavy; there are fewer than HEAVY
 
 
 def tail_class(word: bytes) -> int:

@@ -12,7 +12,7 @@ Segments hash to the sum of their elements' hashes, so a deletion is a subtracti
 
 Groups of copies never produce all pairs. Equal sets are one node. In a bucket every member meets the
 eight least nodes; after their components are known, only members of different components
-of a bucket are compared, all of them. Links inside a component change nothing.
+of a bucket are compared, all whose sizes and parity sketches allow a link. Links inside a component change nothing.
 """
 
 from __future__ import annotations
@@ -135,6 +135,11 @@ def signature(s: np.ndarray, cost: np.ndarray, band: Band, own: bool) -> tuple[n
     return kept, np.ones(len(kept), dtype=bool)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """512 parities of hashed elements: two sets' sketches differ in no more bits than the sets in elements."""
+    return np.packbits(np.bincount((mix(s + _C) >> np.uint64(55)).astype(np.int64), minlength=512) & 1).tobytes()
+
+
 def read_sets(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(key, n_shingles, node) of every row, and (bucket, n): frequent buckets of shingle hashes."""
     kind = dict(docs.dtypes)[key]
@@ -210,8 +215,9 @@ def bucket_rows(docs: DataFrame, cost: np.ndarray) -> DataFrame:
     return docs.select(text_bytes().alias("_text")).mapInArrow(sign, "key long, node long, probe boolean")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[bool, list[np.ndarray]]]:
-    """Rows sorted by key as (whether the key goes on from the piece before, columns); single rows are left out.
+def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[bool, bool, list[np.ndarray]]]:
+    """Rows sorted by key as (the key goes on from the piece before, it may go on in the next, columns);
+    single rows are left out.
 
     A key's rows come in pieces of a batch at most, so a frequent key needs no memory of its own.
     """
@@ -225,9 +231,10 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tup
         end = np.concatenate([first[1:], [len(key)]])
         goes_on = last is not None and key[0] == last
         if goes_on and held is not None:  # a single row waits for the next batch
-            yield False, held
-        for a, b in zip(first[(end - first > 1) | ((first == 0) & goes_on)].tolist(), end[(end - first > 1) | ((first == 0) & goes_on)].tolist()):
-            yield goes_on and a == 0, [key[a:b], *(d[a:b] for d in data)]
+            yield False, True, held
+        several = (end - first > 1) | ((first == 0) & goes_on)
+        for a, b in zip(first[several].tolist(), end[several].tolist()):
+            yield goes_on and a == 0, b == len(key), [key[a:b], *(d[a:b] for d in data)]
         held = [x[-1:] for x in (key, *data)] if end[-1] - first[-1] == 1 and not (goes_on and len(first) == 1) else None
         last = key[-1]
 
@@ -240,7 +247,6 @@ def first_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         out: list[list[np.ndarray]] = []
         size = 0
         lead: list[tuple[int, bool]] = []
-        waiting: list[np.ndarray] | None = None
         is_open = False
 
         def emit(a, b, key=None, probe=None) -> None:
@@ -256,9 +262,11 @@ def first_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             out, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "key", "probe", "open"])
 
-        for goes_on, (key, node, probe) in _runs(batches, ["node", "probe"]):
+        for goes_on, may_go_on, (key, node, probe) in _runs(batches, ["node", "probe"]):
+            if not (goes_on or may_go_on or probe.any()):
+                continue  # nobody looks for partners here
             if not goes_on:
-                lead, waiting, is_open = [], None, False
+                lead, is_open = [], False
             # one row per node: its rows stand together
             start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
             node, probe = node[start], np.logical_or.reduceat(probe.astype(bool), start)
@@ -293,32 +301,38 @@ def first_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, found.where("open").select("key", F.col("a").alias("node"), "probe")
 
 
-def second_pairs(open_rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of one bucket that are in different components, all of them."""
+def second_pairs(open_rows: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of one bucket that are in different components: all whose sizes and sketches allow a link."""
     rows = open_rows.join(parts, "node", "left").select("key", "node", "probe", F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"),
                                     F.max("probe").alias("p")).where("x <> y and p").select("key")
-    rows = rows.join(mixed, "key", "left_semi")
+    rows = rows.join(mixed, "key", "left_semi").join(texts.select("node", "n", "sketch"), "node")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: list[list[np.ndarray]] = []
-        for goes_on, (_, node, probe, part) in _runs(batches, ["node", "probe", "component"]):
+        before: list[tuple] = []
+        for goes_on, _, (_, node, probe, part, n, bits) in _runs(batches, ["node", "probe", "component", "n", "sketch"]):
             if not goes_on:
                 before = []
-            probe = probe.astype(bool)
+            probe, bits = probe.astype(bool), np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(-1, 8)
+            found: list[np.ndarray] = []
             for i in range(len(node)):
-                for other, flag, comp in (*before, [node[:i], probe[:i], part[:i]]):
-                    hit = other[(comp != part[i]) & (flag | probe[i])]
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hit, node[i])), pa.array(np.maximum(hit, node[i]))], names=["a", "b"])
-            before.append([node, probe, part])
-
-    placed = rows.repartition(F.col("key")).sortWithinPartitions("key", "node").select("key", "node", "probe", "component")
+                for o, p, c, m, b in (*before, (node[:i], probe[:i], part[:i], n[:i], bits[:i])):
+                    near = np.flatnonzero((c != part[i]) & (p | probe[i]) & (100 * np.minimum(m, n[i]) >= 80 * np.maximum(m, n[i])))
+                    if len(near):
+                        apart = np.bitwise_count(b[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                        near = near[9 * apart <= m[near] + n[i]]
+                        found.append(np.stack([np.minimum(o[near], node[i]), np.maximum(o[near], node[i])]))
+            before.append((node, probe, part, n, bits))
+            if found:
+                both = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    placed = rows.repartition(F.col("key")).sortWithinPartitions("key", "node").select("key", "node", "probe", "component", "n", "sketch")
     return placed.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
 
 
 def texts_of(docs: DataFrame, key: str, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, packed text) of the given nodes, one document each.
+    """(node, size, sketch, packed text) of the given nodes, one document each.
 
     A bitmap of 2^22 bits over hashed ids drops most other documents before their texts are
     shuffled; its size is fixed, and what it lets through the join removes.
@@ -338,12 +352,15 @@ def texts_of(docs: DataFrame, key: str, sets: DataFrame, nodes: DataFrame) -> Da
             place = batch.column(2).to_numpy()
             hit = np.flatnonzero(shared.value[place >> 5] >> (place & 31) & 1)
             texts = batch.column(1).take(pa.array(hit)).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array([set_id(shingles(t)) for t in texts], pa.int64()),
-                                              pa.array([press.compress(t) for t in texts], pa.binary())], names=[key, "node", "packed"])
+            sets = [shingles(t) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(hit)), pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int64()),
+                 pa.array(map(sketch, sets), pa.binary()), pa.array(map(press.compress, texts), pa.binary())],
+                names=[key, "node", "n", "sketch", "packed"])
 
     rows = docs.where(F.col(key).isNotNull()).select(key, text_bytes().alias("_text"), spot.alias("_spot"))
-    rows = rows.mapInArrow(pick, f"`{key}` {kind}, node long, packed binary").dropDuplicates([key, "node"])
-    return stored(rows.join(chosen, [key, "node"]).select("node", "packed"), "texts")
+    rows = rows.mapInArrow(pick, f"`{key}` {kind}, node long, n long, sketch binary, packed binary").dropDuplicates([key, "node"])
+    return stored(rows.join(chosen, [key, "node"]).select("node", "n", "sketch", "packed"), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -352,6 +369,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     A node with very many pairs is cut into stretches of pairs, each behind its own copy of the text.
     """
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)))
+    texts = texts.select("node", "packed")
     right = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "packed")
     left = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a")
     rows = right.unionByName(left.select("a", "salt", F.lit(None).cast("long").alias("b"), "packed"))
@@ -391,7 +409,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     texts = texts_of(docs, key, rows.where(F.col(key).isNotNull()), nodes)
     links = verified(pairs, texts)
     parts = components(links)
-    more = verified(stored(second_pairs(open_rows, parts), "pairs"), texts)
+    more = verified(stored(second_pairs(open_rows, parts, texts), "pairs"), texts)
     parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = rows.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("least"))
     placed = named.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
