@@ -281,7 +281,7 @@ def _spearman(a: str, b: str) -> str:
 
 SQL["title_body_units"] = f"""SELECT round({_spearman('ra', 'rb')}, 6) AS ic, count(*) AS n FROM (
  SELECT {_average_rank('a')} AS ra, {_average_rank('b')} AS rb FROM (
-  SELECT {_lex(_strip('title'))} AS a, {_lex(f"substr({_strip('body')}, 1, 2000)")} AS b FROM arts
+  SELECT {_lex(_strip('title'))} AS a, {_lex(_strip('body'))} AS b FROM arts
   WHERE length(body) > 200 AND title IS NOT NULL))"""
 SQL["title_join"] = """SELECT a.symbol, count(*) AS rows, count(b.title) AS titles FROM cleaned a
  LEFT JOIN cleaned b ON a.symbol = b.symbol AND a.ts = b.ts GROUP BY a.symbol"""
@@ -769,4 +769,4 @@ SQL["patches"] = f"SELECT symbol, date, 11 AS patches, {_r(['second_start', 'las
 SQL["stream_dedup"] = """SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS symbol, strftime(o_orderdate, '%Y-%m-%d') AS date,
  o_orderpriority AS ntitle FROM orders"""
 SQL["stream_daily_counts"] = """SELECT CAST(o_custkey AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS day, count(*) AS n
- FROM orders WHERE CAST(o_orderdate AS DATE) + 1 <= (SELECT CAST(max(o_orderdate) AS DATE) - 7 FROM orders) GROUP BY 1, 2"""
+ FROM orders GROUP BY 1, 2"""

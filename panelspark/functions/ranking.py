@@ -26,10 +26,19 @@ from panelspark.session import durable
 
 DIRECT_ROWS = 1_000_000
 RANGE_ROWS = 1_000_000
-MAX_RANGES = 20_000
 HEAVY_SHARE = 1_000
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+                   equal: Sequence[str] = ()) -> DataFrame:
+    """Join on ``keys``, where NULL meets NULL, and on ``equal``, where it does not; the left side's names stay."""
+    other = right.select(*[F.col(c).alias(f"_right_{c}") if c in (*keys, *equal) else F.col(c) for c in right.columns])
+    on = [left[k].eqNullSafe(other[f"_right_{k}"]) for k in keys] + [left[k] == other[f"_right_{k}"] for k in equal]
+    if not on:
+        return left.crossJoin(other)  # one row per side of no keys at all
+    return left.join(other, on, how).drop(*[f"_right_{k}" for k in (*keys, *equal)])
+
+
 def group_sizes(df: DataFrame, group: Sequence[str]) -> tuple[int, int]:
     """(all rows, rows of the largest group)."""
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
@@ -38,7 +47,7 @@ def group_sizes(df: DataFrame, group: Sequence[str]) -> tuple[int, int]:
 
 
 def _range_count(rows: int, direct_rows: int) -> int:
-    return max(2, min(MAX_RANGES, math.ceil(rows / min(direct_rows, RANGE_ROWS))))
+    return max(2, math.ceil(rows / min(direct_rows, RANGE_ROWS)))
 
 
 def _cut_into_ranges(df: DataFrame, keys: Sequence[Column | str], ranges: int) -> DataFrame:
@@ -74,7 +83,7 @@ def positions(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     cut = _cut_into_ranges(df, [*group, *order], _range_count(rows, direct_rows))
     offsets = _range_offsets(cut, group, F.lit(1))
     inside = Window.partitionBy(*group, "_range").orderBy(*order)
-    return (cut.join(offsets, [*group, "_range"])
+    return (join_null_safe(cut, offsets, [*group, "_range"])
             .withColumn(position, F.row_number().over(inside) + F.col("_earlier"))
             .withColumnRenamed("_total", size)
             .drop("_range", "_earlier"))
@@ -103,7 +112,7 @@ def tie_blocks(df: DataFrame, group: Sequence[str], value: str, weight: str | No
     offsets = _range_offsets(cut, group, F.col("ties"))
     inside = (Window.partitionBy(*group, "_range").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, -1))
-    return cut.join(offsets, [*group, "_range"]).select(
+    return join_null_safe(cut, offsets, [*group, "_range"]).select(
         *group, value, "ties", "members",
         (F.coalesce(F.sum("ties").over(inside), F.lit(0)) + F.col("_earlier")).alias("below"),
         F.col("_total").alias("total"))
@@ -132,27 +141,29 @@ def average_rank(df: DataFrame, group: Sequence[str], value: str, rank: str = "r
                     F.col(value).isNotNull(),
                     F.rank().over(ordered) + (F.count(value).over(equal) - 1) / F.lit(2.0)))
                 .withColumn(size, F.count(value).over(spec)))
-    blocks = durable(tie_blocks(df, group, value, direct_rows=direct_rows))
+    # stored once: both sides of the join below must see the same doubles, and the input runs once
+    rows_in = durable(df)
+    blocks = durable(tie_blocks(rows_in, group, value, direct_rows=direct_rows))
     ranked = blocks.select(*group, value, "members", middle_rank().alias(rank),
                            F.col("total").alias(size))
-    return join_tie_blocks(df, ranked, [*group, value], rows)
+    placed = join_tie_blocks(rows_in.where(F.col(value).isNotNull()), ranked, group, value, rows)
+    totals = rows_in.groupBy(*group).agg(F.count(value).alias(size))
+    missing = join_null_safe(rows_in.where(F.col(value).isNull()), totals, group)
+    return placed.unionByName(missing, allowMissingColumns=True)
 
 
-def join_tie_blocks(df: DataFrame, blocks: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+def join_tie_blocks(df: DataFrame, blocks: DataFrame, group: Sequence[str], value: str, rows: int) -> DataFrame:
     """Attach stored per-value results to rows without sending a hot value to one task.
 
     A value with more than 1/1000 of the rows is heavy; there can be at most 1000 such
-    values, so that side is broadcast. All other values go through a shuffle join, and
-    rows with a NULL key, which match nothing, skip it.
+    values, so that side is broadcast. All other values go through a shuffle join. Groups
+    may be NULL, values may not.
     """
     heavy = blocks.where(F.col("members") * HEAVY_SHARE > rows).drop("members")
     light = blocks.where(F.col("members") * HEAVY_SHARE <= rows).drop("members")
-    known = df.na.drop(subset=list(keys))
-    missing = df.where(" or ".join(f"`{k}` is null" for k in keys))
-    hot = known.join(F.broadcast(heavy), list(keys))
-    rest = (known.join(F.broadcast(heavy.select(*keys)), list(keys), "left_anti")
-            .join(light, list(keys)))
-    return hot.unionByName(rest).unionByName(missing, allowMissingColumns=True)
+    hot = join_null_safe(df, F.broadcast(heavy), group, "inner", [value])
+    rest = join_null_safe(df, F.broadcast(heavy.select(*group, value)), group, "left_anti", [value])
+    return hot.unionByName(join_null_safe(rest, light, group, "inner", [value]))
 
 
 def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float],
@@ -163,7 +174,7 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[f
     _, largest = group_sizes(present, group)
     if largest <= direct_rows:
         return present.groupBy(*group).agg(
-            F.percentile(value, F.lit([float(p) for p in probs])).alias(out))
+            F.percentile(F.col(value) + F.lit(0.0), F.lit([float(p) for p in probs])).alias(out))  # + 0.0: no -0.0
     blocks = tie_blocks(present, group, value, direct_rows=direct_rows)
     picks, parts = [], []
     for i, p in enumerate(probs):
@@ -205,7 +216,7 @@ def rank_correlation(df: DataFrame, group: Sequence[str], x: str, y: str,
             blocks = durable(tie_blocks(stored, group, side, "_w", direct_rows))
             keep = blocks.select(*group, side, "members", middle_rank().alias(name),
                                  F.col("total").alias(f"{name}n"))
-            ranked = join_tie_blocks(ranked, keep, [*group, side], rows)
+            ranked = join_tie_blocks(ranked, keep, group, side, rows)
         ranked = ranked.withColumn("_n", F.col("_rxn"))
     mid = (F.col("_n") + 1) / F.lit(2.0)
     dx, dy, w = F.col("_rx") - mid, F.col("_ry") - mid, F.col("_w")

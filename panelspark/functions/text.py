@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from panelspark import params
 
 
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def symbol_of(raw: Column) -> Column:
-    return F.upper(F.trim(raw))
+    return F.upper(strip(raw))
 
 
 def stated_date_text(ts: Column) -> Column:
     """First ten characters when they look like an ISO date, else NULL."""
-    head = F.substring(F.trim(ts), 1, 10)
+    head = F.substring(strip(ts), 1, 10)
     return F.when(head.rlike(params.ISO_DATE_PATTERN), head)
 
 
@@ -25,11 +28,12 @@ def plausible_year(date_text: Column, first: int = 1990, last: int = 2026) -> Co
 
 
 def strip(raw: Column) -> Column:
-    return F.regexp_replace(raw, r"^\s+|\s+$", "")
+    """Without white space at both ends: blanks, tabs, line ends and Unicode's own, as in :data:`SPACE`."""
+    return F.regexp_replace(raw, rf"^{SPACE}+|{SPACE}+$", "")
 
 
 def first_words(text: Column, count: int) -> Column:
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
     return F.array_join(F.slice(words, 1, count), " ")
 
 
@@ -41,17 +45,17 @@ def title_or_lead(title: Column, body: Column, count: int = params.TITLE_FALLBAC
 
 
 def normal_title(title: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(title), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(title), f"{SPACE}+", " "))
 
 
 def normal_url(url: Column) -> Column:
-    bare = F.substring_index(F.lower(F.trim(F.coalesce(url, F.lit("")))), "?", 1)
+    bare = F.substring_index(F.lower(strip(F.coalesce(url, F.lit("")))), "?", 1)
     return F.regexp_replace(F.substring_index(bare, "#", 1), "/+$", "")
 
 
 def word_set(text: Column) -> Column:
     spaced = F.regexp_replace(F.lower(text), "[,.]", " ")
-    return F.array_distinct(F.filter(F.split(spaced, r"\s+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(spaced, f"{SPACE}+"), lambda w: w != ""))
 
 
 def hits(words: Column, vocabulary: Sequence[str]) -> Column:
@@ -60,6 +64,6 @@ def hits(words: Column, vocabulary: Sequence[str]) -> Column:
 
 def date_only(ts: Column) -> Column:
     """True when a UTC text timestamp has midnight as its time; unreadable is false."""
-    parsed = F.coalesce(*[F.try_to_timestamp(F.trim(ts), F.lit(pattern)) for pattern in (
+    parsed = F.coalesce(*[F.try_to_timestamp(strip(ts), F.lit(pattern)) for pattern in (
         "yyyy-MM-dd HH:mm:ss 'UTC'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")])
     return F.coalesce(F.date_format(parsed, "HH:mm:ss") == "00:00:00", F.lit(False))

@@ -45,10 +45,18 @@ def align(days: DataFrame, sessions: DataFrame) -> DataFrame:
             .where((F.col("_session") == 0) & F.col("eff").isNotNull()).drop("_session"))
 
 
-def align_articles(news: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Every article with its effective session, through the per-day mapping."""
+def align_articles(news: DataFrame, sessions: DataFrame, salts: int = 8) -> DataFrame:
+    """Every article with its effective session, through the per-day mapping.
+
+    Articles are dealt by (symbol, date, salt), whatever partitioning the mapping has and
+    whatever the session allows to be reused: a symbol with a third of all articles, or a
+    day of it, is many tasks. The salt is a hash of the article.
+    """
     days = news.select("symbol", "date").distinct()
-    return news.join(align(days, sessions), ["symbol", "date"])
+    keys = ["symbol", "date", "_salt"]
+    mapping = align(days, sessions).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(*keys)
+    salted = news.withColumn("_salt", F.pmod(F.xxhash64(*news.columns), F.lit(salts)).cast("int")).repartition(*keys)
+    return salted.join(mapping, keys).drop("_salt")
 
 
 def _merged() -> list:

@@ -39,7 +39,7 @@ def clean(raw: DataFrame) -> DataFrame:
     title = T.title_or_lead(F.col("title"), F.col("body"))
     body = T.strip(F.coalesce(F.col("body"), F.lit("")))
     staged = (raw.where(F.col("symbol").isNotNull() & F.col("ts").isNotNull())
-              .select(T.symbol_of(F.col("symbol")).alias("symbol"), F.trim("ts").alias("ts"),
+              .select(T.symbol_of(F.col("symbol")).alias("symbol"), T.strip(F.col("ts")).alias("ts"),
                       T.stated_date_text(F.col("ts")).alias("date"), title.alias("title"),
                       (F.length(body) > params.MIN_BODY_CHARS).alias("has_body"),
                       T.normal_url(F.col("url")).alias("nurl"), "src"))
@@ -73,8 +73,8 @@ def over_merge_rate(raw: DataFrame, title_chars: int = params.LOOSE_TITLE_CHARS)
     aggregations replaces two distinct counts over the raw rows.
     """
     strict = raw.where(F.col("symbol").isNotNull() & F.col("ts").isNotNull() & F.col("title").isNotNull()).select(
-        F.trim("symbol").alias("symbol"), F.substring("ts", 1, 10).alias("d10"),
-        F.trim("title").alias("title"), F.coalesce("url", F.lit("")).alias("url")).distinct()
+        T.strip(F.col("symbol")).alias("symbol"), F.substring("ts", 1, 10).alias("d10"),
+        T.strip(F.col("title")).alias("title"), F.coalesce("url", F.lit("")).alias("url")).distinct()
     loose = strict.groupBy("symbol", "d10", F.substring("title", 1, title_chars).alias("head")).agg(
         F.count(F.lit(1)).alias("stories"))
     return loose.agg(
@@ -94,17 +94,17 @@ def label_of(p_pos: Column, p_neg: Column, p_neu: Column) -> Column:
             .when(p_neg >= F.greatest(p_pos, p_neu), "neg").otherwise("neu"))
 
 
-def long_bodies(raw: DataFrame) -> DataFrame:
+def long_bodies(raw: DataFrame, body_chars: int | None = None) -> DataFrame:
     """Title and body units of articles whose body is long enough to be scored itself.
 
-    The body unit is the reference unit of the comparison: its leading characters.
+    The body unit is the whole body; ``body_chars`` cuts it for a scorer that reads a prefix only.
     """
     body = T.strip(F.col("body"))
     return (raw.where(F.length("body") > params.LONG_BODY_CHARS)
             .where(F.col("symbol").isNotNull() & F.col("ts").isNotNull() & F.col("title").isNotNull())
-            .select(F.trim("symbol").alias("symbol"), F.substring("ts", 1, 10).alias("date"),
+            .select(T.strip(F.col("symbol")).alias("symbol"), F.substring("ts", 1, 10).alias("date"),
                     T.strip(F.col("title")).alias("title"),
-                    F.substring(body, 1, params.BODY_SCORE_CHARS).alias("body")))
+                    (F.substring(body, 1, body_chars) if body_chars else body).alias("body")))
 
 
 def join_titles(scored: DataFrame, corpus: DataFrame,

@@ -191,14 +191,15 @@ def contrast(paired: DataFrame, by: Sequence[str] = ("model",), spacing: int = 5
     for other in ("mse", "ridge"):
         d = deflated_sharpe(wide, f"d_{other}", keys, spacing, trials)
         out = out.join(d.select(*keys, F.col("sr").alias(f"dSharpe_vs_{other}"),
-                                F.col("dsr").alias(f"DSR_vs_{other}"), F.col("p").alias(f"p_vs_{other}")), keys)
+                                F.col("dsr").alias(f"DSR_vs_{other}"), F.col("p").alias(f"p_vs_{other}")), keys, "left")
     ic = (pooled_ic(enough, "s_risk", "y", keys).select(*keys, F.col("ic").alias("_ic_risk"))
           .join(pooled_ic(enough, "s_mse", "y", keys).select(*keys, F.col("ic").alias("_ic_mse")), keys))
     config = F.array_position(F.lit(list(arms)), F.col("arm"))
     performance = returns.select(*keys, date, config.alias("config"), F.col("gross").alias("value"))
     pbo = overfitting_probability(performance, keys, date).select(*keys, F.col("pbo").alias("PBO"))
-    out = (out.join(ic, keys).withColumn("dRankIC_vs_mse", F.col("_ic_risk") - F.col("_ic_mse"))
-           .drop("_ic_risk", "_ic_mse").join(pbo, keys))
+    # a set without a valid split or rank correlation stays, with NULL, and is not accepted
+    out = (out.join(ic, keys, "left").withColumn("dRankIC_vs_mse", F.col("_ic_risk") - F.col("_ic_mse"))
+           .drop("_ic_risk", "_ic_mse").join(pbo, keys, "left"))
     return out.withColumn("H1_ACCEPT", accept(rule))
 
 

@@ -53,9 +53,9 @@ def soft_weights(scores: DataFrame, tau: float, by: Sequence[str] = (),
         cut = ranking.quantiles(scores, keys, score, [1.0 - fraction], "_cut", direct_rows)
         spread = scores.groupBy(*keys).agg((F.stddev_pop(score) + eps).alias("_sd"),
                                            F.count(F.lit(1)).alias("_n"))
-        cut = cut.join(spread, keys).withColumn("_q", F.col("_cut")[0]).drop("_cut")
-        raw = scores.join(cut, keys).withColumn("_w", _sigmoid(score, tau))
-        summed = raw.join(raw.groupBy(*keys).agg((F.sum("_w") + eps).alias("_sum")), keys)
+        cut = ranking.join_null_safe(spread, cut, keys, "left").withColumn("_q", F.col("_cut")[0]).drop("_cut")
+        raw = ranking.join_null_safe(scores, cut, keys).withColumn("_w", _sigmoid(score, tau))
+        summed = ranking.join_null_safe(raw, raw.groupBy(*keys).agg((F.sum("_w") + eps).alias("_sum")), keys)
     weight = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise(F.col("_w") / F.col("_sum"))
     return summed.withColumn("w", weight).drop("_q", "_sd", "_n", "_w", "_sum")
 

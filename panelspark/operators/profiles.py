@@ -43,12 +43,13 @@ def price_profile(prices: DataFrame, recent: int = RECENT_ROWS,
     gaps = traded.select("ticker", "date").distinct().select("ticker", gap)
     tail = ranking.positions(traded, ["ticker"], newest, "_age", "_n", direct_rows)
     full = ranking.quantiles(traded, ["ticker"], "_dv", [0.5], "_full", direct_rows)
-    return (traded.groupBy("ticker").agg(*span)
-            .join(gaps.groupBy("ticker").agg(widest), "ticker")
-            .join(full.select("ticker", F.col("_full")[0].alias("med_dollar_vol_full")), "ticker", "left")
-            .join(tail.where(F.col("_age") <= recent).groupBy("ticker")
-                  .agg(F.median("_dv").alias("med_dollar_vol_recent252")), "ticker", "left")
-            .select(*columns))
+    out = traded.groupBy("ticker").agg(*span)
+    for part in (gaps.groupBy("ticker").agg(widest),
+                 full.select("ticker", F.col("_full")[0].alias("med_dollar_vol_full")),
+                 tail.where(F.col("_age") <= recent).groupBy("ticker").agg(
+                     F.median("_dv").alias("med_dollar_vol_recent252"))):
+        out = ranking.join_null_safe(out, part, ["ticker"], "left")
+    return out.select(*columns)
 
 
 def with_failures(profile: DataFrame, files: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def with_failures(profile: DataFrame, files: DataFrame) -> DataFrame:
     ``files`` has ticker, lines (data lines, readable or not) and problem (text or NULL).
     """
     joined = files.join(profile, "ticker", "left")
-    error = (F.when(F.col("problem").isNotNull(), F.substring("problem", 1, 80))
+    error = (F.when(F.col("problem").isNotNull(), F.col("problem"))
              .when(F.col("lines") == 0, "empty")
              .when(F.col("n_rows").isNull(), "no_valid_dates").otherwise(""))
     missing = {"n_rows": 0, "n_years": 0.0, "med_dollar_vol_recent252": 0.0,

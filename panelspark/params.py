@@ -33,7 +33,7 @@ BLOCK_DATES = 16
 TITLE_FALLBACK_WORDS = 60
 LOOSE_TITLE_CHARS = 120
 MIN_BODY_CHARS = 20
-LONG_BODY_CHARS, BODY_SCORE_CHARS = 200, 2000
+LONG_BODY_CHARS = 200
 LEVERAGED_PATTERN = r"^(TQQQ|SQQQ|UVXY|VXX|SVXY|.*(BULL|BEAR)).*$"
 ISO_DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
 POSITIVE_WORDS = (

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,18 +20,33 @@ def _ticker():
     return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1)
 
 
+def _header() -> Column:
+    """Names of a price file's header line, lower-cased."""
+    return F.transform(F.split(F.col("line"), ","), lambda c: F.lower(text.strip(c)))
+
+
 def read_prices(spark: SparkSession, folder: str, problems: DataFrame | None = None) -> DataFrame:
     """Rows (ticker, date, volume, open, high, low, close, adj_close) of a folder of CSVs.
 
-    The ticker is the file name. Dates that cannot be read are NULL, and so are numbers.
-    Files listed in ``problems`` (see :func:`list_price_files`) are left out.
+    The ticker is the file name. Columns are found by the names in each file's own header, in
+    any order; other columns are ignored and missing ones are NULL. Dates and numbers that
+    cannot be read are NULL. A file without a header gives no rows, and files listed in
+    ``problems`` (see :func:`list_price_files`) are left out.
     """
-    schema = T.StructType([T.StructField(c, T.StringType() if c == "date" else T.DoubleType())
-                           for c in PRICE_COLUMNS])
-    rows = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-            .option("pathGlobFilter", "*.csv").csv(folder))
-    rows = rows.select(_ticker().alias("ticker"), F.col("date").try_cast("date").alias("date"),
-                       *[F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in PRICE_COLUMNS[1:]])
+    lines = (spark.read.option("pathGlobFilter", "*.csv").text(folder)
+             .select(_ticker().alias("ticker"), F.regexp_replace("value", "^\ufeff|\r$", "").alias("line"))
+             .where(text.strip(F.col("line")) != ""))
+    is_header = F.array_contains(_header(), "date")
+    headers = lines.where(is_header).groupBy("ticker").agg(F.min("line").alias("line")).select("ticker", _header().alias("names"))
+    cells = F.split("line", ",", -1)
+
+    def named(name: str) -> Column:
+        at = F.array_position("names", name).cast("int")
+        return F.when(at > 0, text.strip(F.get(cells, at - 1)))
+
+    rows = lines.where(~is_header).join(headers, "ticker").select(
+        "ticker", named("date").try_cast("date").alias("date"),
+        *[named(c).try_cast("double").alias(c.replace(" ", "_")) for c in PRICE_COLUMNS[1:]])
     if problems is not None:
         rows = rows.join(problems.where(F.col("problem").isNotNull()).select("ticker"), "ticker", "left_anti")
     return rows
@@ -50,8 +67,7 @@ def list_price_files(spark: SparkSession, folder: str, expected: DataFrame | Non
              .select(_ticker().alias("ticker"), F.trim("value").alias("line"))
              .where(F.col("line") != ""))
     needed = F.lit(["date", "volume", "close"])
-    header = F.transform(F.split(F.col("line"), ","), lambda c: F.lower(F.trim(c)))
-    is_header = F.size(F.array_intersect(header, needed)) == 3
+    is_header = F.size(F.array_intersect(_header(), needed)) == 3
     counted = lines.groupBy("ticker").agg(F.count_if(~is_header).alias("lines"),
                                           F.count_if(is_header).alias("headers"))
     joined = names.join(counted, "ticker", "left").fillna(0, ["lines", "headers"])
@@ -63,19 +79,25 @@ def list_price_files(spark: SparkSession, folder: str, expected: DataFrame | Non
 def read_news(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """News rows (ts, symbol, title, body, url, src), all text.
 
-    A line with too many fields is dropped, a short one is kept with NULLs. Quoted line
+    Columns are found by name in each file's own header, and a missing one is NULL. A line with too
+    many fields is dropped, a short one is kept with NULLs. Quoted line
     breaks force one task per file: keep the raw feed as many files, or store it as
     Parquet once, before running at scale.
     """
-    head = spark.read.option("header", True).option("multiLine", True).option("quote", '"') \
-        .option("escape", '"').csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*head, "_extra"]])
-    rows = (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"')
-            .option("enforceSchema", True).option("encoding", "UTF-8").csv(path))
-    return (rows.where(F.col("_extra").isNull())
-            .select(*[F.col(f"`{raw}`").alias(name) for raw, name in NEWS_COLUMNS.items()],
-                    F.lit(tag).alias("src")))
+    reader = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+              .option("encoding", "UTF-8"))
+    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]
+    by_header: dict[tuple, list[str]] = {}
+    for name in files:  # a raw feed is a few large files
+        by_header.setdefault(tuple(reader.csv(name).columns), []).append(name)
+    parts = []
+    for head, names in by_header.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*head, "_extra"]])
+        rows = reader.schema(schema).option("mode", "PERMISSIVE").option("enforceSchema", True).csv(names)
+        parts.append(rows.where(F.col("_extra").isNull()).select(
+            *[(F.col(f"`{raw}`") if raw in head else F.lit(None).cast("string")).alias(name) for raw, name in NEWS_COLUMNS.items()],
+            F.lit(tag).alias("src")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_tickers(spark: SparkSession, path: str) -> DataFrame:
