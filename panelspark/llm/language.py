@@ -91,7 +91,7 @@ class LanguageModel:
         return out
 
 
-def fit(rows: DataFrame, label: str = "lang", key: str = "doc_id", per_class: int = 400, most_bytes: int = 50_000,
+def fit(rows: DataFrame, label: str = "lang", key: str = "doc_id", per_class: int = 250, most_bytes: int = 50_000,
         cost: float = 50.0) -> LanguageModel:
     """Fit on at most ``per_class`` documents of each language, drawn by hash among those of at most
     ``most_bytes`` bytes with a letter: the documented bound of what the driver sees."""
@@ -110,9 +110,14 @@ def fit(rows: DataFrame, label: str = "lang", key: str = "doc_id", per_class: in
         code, _ = trigrams([text])
         x[i] = np.bincount(code, minlength=1 << BITS) / len(code)
     used = np.flatnonzero(x.any(axis=0))
-    scale = 1.0 / np.sqrt((x[:, used] ** 2).mean(axis=0) + 1e-7)
-    scale *= 1.0 / np.sqrt((np.square(x[:, used] * scale)).sum(axis=1).mean())
-    small = (x[:, used] * scale).astype(np.float32)
+    small = x[:, used]
+    del x  # the driver is small
+    power = np.einsum("ij,ij->j", small, small) / len(small)
+    scale = (1.0 / np.sqrt(power + 1e-7)).astype(np.float32)
+    small *= scale
+    size = np.float32(1.0 / np.sqrt(np.einsum("ij,ij->i", small, small).mean()))
+    small *= size
+    scale = scale * size
     of = np.array([lang for lang, _ in got])
     kin = np.array([family_of(lang) for lang, _ in got])
     machines = []

@@ -145,8 +145,8 @@ def rows_of(strings: list[str], table: np.ndarray) -> np.ndarray:
     out = np.zeros((len(strings), table.shape[1]))
     for part, code in windows(strings):
         code, weight, norm = triples(code)
-        for at in range(0, len(part), 2048):
-            to = slice(at, at + 2048)
+        for at in range(0, len(part), 512):
+            to = slice(at, at + 512)
             out[part[to]] = np.einsum("ijk,j->ik", table[code[to]], weight) / norm[to, None]
     return out
 
@@ -226,6 +226,7 @@ def fit_texts(texts: list[str], toxic: list[int], marks: int = 128, rounds: int
     values, vectors = np.linalg.eigh(rows_of(landmarks, table) + 1e-4 * np.eye(len(landmarks)))
     root = (vectors / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T
     score = np.array([max((odds.get(s, -1.0) for s in p), default=-1.0) for p in parts])  # of words, before any training
+    del parts, seen  # the driver is small
     bad = np.random.default_rng(3).permutation(np.flatnonzero(clean_words))[:most_windows // 2]
     w, b = np.zeros(len(landmarks)), -1.0
     for turn in range(rounds):
