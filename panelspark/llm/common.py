@@ -83,7 +83,8 @@ def bounded_sample(df: DataFrame, label: str, per_class: int, key: str = "doc_id
     draw = (F.xxhash64(F.col(key)) + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     share = F.lit(2.0 * per_class + 64) / F.col("_n")
-    near = df.join(counts, label).where(draw < share)
+    # one row per class, and the learner holds a machine per class anyway: bounded, and no shuffle by class
+    near = df.join(F.broadcast(counts), label).where(draw < share)
     order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key)), F.col(key))
     return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_class).drop("_r", "_n")
 

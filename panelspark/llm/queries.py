@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import bpe, compression, external_shuffle, gated_lm, jaccard, language, string_kernel, templates, token_blocks, token_counts
-from panelspark.llm.common import documents, held_out
+from panelspark.llm.common import bounded_sample, documents, held_out
 
 
 def op1_rans_token_blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,11 +20,16 @@ def op2_compression_bands(spark: SparkSession, folder: str) -> DataFrame:
     return compression.compression_bands(documents(spark, folder))
 
 
-def labelled(spark: SparkSession, folder: str, docs: DataFrame) -> DataFrame:
-    """Texts with a toxicity label, of the rows that may be learned from; one label per id, the higher."""
+def labelled(spark: SparkSession, folder: str, docs: DataFrame, per_class: int = 2000) -> DataFrame:
+    """Texts with a toxicity label, of the rows that may be learned from; one label per id, the higher.
+
+    At most ``per_class`` ids of each label are drawn by hash before any text is read, so the ids
+    are a bounded table that is sent to the documents, and no text is shuffled.
+    """
     labels = spark.read.parquet(f"{folder}/labels.parquet").where(F.col("toxic").isNotNull() & ~held_out(3, 1))
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+    drawn = bounded_sample(labels, "toxic", per_class).select("doc_id", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
 
 
 def op3_string_kernel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
