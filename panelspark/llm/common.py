@@ -102,6 +102,20 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 21) -> Iterator
         yield first, batch.column(column).slice(first).to_pylist()
 
 
+def library_tokenizer(path: str) -> tuple[object, list[str]]:
+    """The library's tokenizer of a file, without truncation or padding, and its special strings.
+
+    Spark already gives every core a task: threads of the library's own would only fight for them, and
+    for batches of single pre-tokens they cost more than the encoding.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+
 class ChunkMemo:
     """Values of texts put together from those of their pre-tokens, each computed once per worker.
 
@@ -122,19 +136,25 @@ class ChunkMemo:
     def _parts(self, chunk: str, lead: str) -> list[str] | None:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return None
-        if chunk.isalpha():
-            return [lead + chunk]
         if chunk[-1] in ".," and chunk[:-1].isalpha():
             return [lead + chunk[:-1], chunk[-1]]
         return self.cut(lead + chunk)
 
     def _fill(self, table: dict, new: Iterable[str], lead: str) -> None:
-        parts = {c: self._parts(c, lead) for c in new}
-        fresh = {p for x in parts.values() if x for p in x}.difference(self.pre)
+        words, parts = [], {}
+        for c in new:
+            if c.isalpha():
+                words.append(c)
+            else:
+                parts[c] = self._parts(c, lead)
+        whole = [lead + c for c in words]
+        fresh = {p for x in parts.values() if x for p in x}
+        fresh = fresh.union(whole).difference(self.pre)
         if fresh:
-            order = sorted(fresh)
+            order = list(fresh)
             self.pre.update(zip(order, self.many(order)))
         value = self.pre.__getitem__
+        table.update(zip(words, map(value, whole)))
         for c, x in parts.items():
             table[c] = None if x is None else value(x[0]) if len(x) == 1 else self.join(list(map(value, x)))
 

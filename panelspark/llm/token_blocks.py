@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ChunkMemo, new_path, ship, slices, stored, text_bytes
+from panelspark.llm.common import ChunkMemo, library_tokenizer, new_path, ship, slices, stored, text_bytes
 
 LANES, CHECKPOINT, BLOCK_TOKENS = 512, 256, 1 << 18
 _LOW = np.uint64(1 << 31)
@@ -117,13 +118,9 @@ class LibraryEncoder:
     """Ids of a text by the tokenizers library; repeated chunks are encoded once per worker."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer, special = library_tokenizer(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = ChunkMemo(self._cut, self._many, b"".join, lambda t: self._many([t])[0], special)
 
     def _cut(self, chunk: str) -> list[str]:
@@ -133,7 +130,10 @@ class LibraryEncoder:
         out: list[bytes] = []
         for i in range(0, len(texts), 4096):
             found = self.tokenizer.encode_batch_fast(texts[i:i + 4096], add_special_tokens=False)
-            out += [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
+            ids = [e.ids for e in found]
+            flat = memoryview(np.fromiter(chain.from_iterable(ids), dtype=self.kind).tobytes())
+            ends = [self.kind.itemsize * n for n in accumulate(map(len, ids), initial=0)]
+            out += [bytes(flat[a:b]) for a, b in pairwise(ends)]
         return out
 
     def encode_many(self, texts: list[str], end: int) -> Iterator[bytes]:
@@ -199,9 +199,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", end: int
     in the order of a checksum of their ids; a missing key comes first. A document is never cut: a
     very long one has a block of its own, and many stretches to decode side by side.
     """
-    from tokenizers import Tokenizer
     spark, kind = ship(docs.sparkSession), dict(docs.dtypes)[key]
-    size = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
+    size = library_tokenizer(tokenizer)[0].get_vocab_size(with_added_tokens=True)
     item = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
     rows = encoded(docs, tokenizer, key, end)
     counts = id_counts(rows, size)

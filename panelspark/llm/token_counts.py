@@ -13,18 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ChunkMemo, ship, slices, text_bytes
+from panelspark.llm.common import ChunkMemo, library_tokenizer, ship, slices, text_bytes
 
 
 class PieceCounts:
     """Pieces of distinct pre-tokens by the library's own encoder, kept for the worker's next blocks."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer, special = library_tokenizer(path)
         self.memo = ChunkMemo(self._cut, self._count, sum, lambda t: self._count([t])[0], special)
 
     def _cut(self, chunk: str) -> list[str]:
