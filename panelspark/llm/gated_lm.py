@@ -6,11 +6,13 @@ corpus share: P(word) = P(class | state) * P(word | class[, state]). One unit (g
 reads the words; a document starts from the zero state and keeps its state to its end, window after
 window. Training is truncated backpropagation over windows, one pass over all training documents in
 ``rounds`` parts by a hash of the id: in each round every task trains from the shared weights on its
-documents, and the weights are averaged by the tasks' tokens.
+documents, and the weights are averaged by the tasks' tokens. Texts are read twice, for the counts and
+for their numbers; training and scoring read the stored numbers, two bytes a token.
 """
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import ship, stored, text_bytes
 
-HEAD, CLASS_SIZE, TAILS, HIDDEN, WINDOW, STREAMS = 1024, 32, 16, 12, 20, 512
+HEAD, CLASS_SIZE, TAILS, HIDDEN, WINDOW, STREAMS = 1024, 64, 16, 12, 20, 512
 END = b"\n"  # no word has white space in it
 HEAVY = 1 << 18  # a word with over 1 / HEAVY of all tokens is heavy; there are fewer than HEAVY
 
@@ -96,8 +98,27 @@ def lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(tuple(w for w, _ in heavy), np.array([n for _, n in heavy], dtype=np.int64), tokens, distinct, tail_tokens, tail_distinct)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
+def sigmoid(x: np.ndarray) -> None:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1.0
+    np.reciprocal(x, out=x)
+
+
+def thirds(x: np.ndarray) -> list[np.ndarray]:
+    """The columns of the update gate, the reset gate and the candidate, each contiguous."""
+    return [np.ascontiguousarray(x[:, k * HIDDEN:(k + 1) * HIDDEN]) for k in range(3)]
+
+
+def softmax_parts(logits: np.ndarray, chosen: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each row's chosen column, and the row sums; the logits become their exponentials."""
+    if not small and len(logits):
+        logits -= logits.max(1, keepdims=True)
+    value = logits[np.arange(len(logits)), chosen]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], np.float32)
+    return value - np.log(total), total
 
 
 @dataclass
@@ -138,51 +159,56 @@ class Network:
         """Run (steps, streams) of input ids; natural log probability of each target's class and, for the
         model's words, of the word in it; the last state; what backpropagation needs."""
         w, (steps, n) = self.w, ids.shape
-        hs, gates = np.empty((steps + 1, n, HIDDEN), np.float32), np.empty((steps, n, 3 * HIDDEN), np.float32)
+        hs = np.empty((steps + 1, n, HIDDEN), np.float32)
         hs[0] = state
-        xin = w.x[ids]
-        uz, un = np.ascontiguousarray(w.u[:, :2 * HIDDEN]), np.ascontiguousarray(w.u[:, 2 * HIDDEN:])
+        # each gate has an array of its own, so that a step works on contiguous memory; it starts as the input's part
+        gates = [np.take(x, ids, axis=0) for x in thirds(w.x)]
+        uz, ur, un = thirds(w.u)
         for t in range(steps):
-            h, g = hs[t], gates[t]
-            g[:, :2 * HIDDEN] = sigmoid(xin[t, :, :2 * HIDDEN] + h @ uz)
-            z, r = g[:, :HIDDEN], g[:, HIDDEN:2 * HIDDEN]
-            g[:, 2 * HIDDEN:] = np.tanh(xin[t, :, 2 * HIDDEN:] + (r * h) @ un)
-            hs[t + 1] = h + z * (g[:, 2 * HIDDEN:] - h)
+            h, (z, r, c) = hs[t], (g[t] for g in gates)
+            z += h @ uz
+            sigmoid(z)
+            r += h @ ur
+            sigmoid(r)
+            c += (r * h) @ un
+            np.tanh(c, out=c)
+            hs[t + 1] = h + z * (c - h)
         out, goal = hs[1:].reshape(-1, HIDDEN), target.reshape(-1)
         kind = np.where(goal < HEAD, goal // CLASS_SIZE, HEAD // CLASS_SIZE + goal - HEAD)
-        logits = out @ w.c + w.cb
-        logits -= logits.max(1, keepdims=True)
-        share = np.exp(logits)
-        share /= share.sum(1, keepdims=True)
-        value = np.log(share[np.arange(len(goal)), np.maximum(kind, 0)] + 1e-30)
+        share = out @ w.c + w.cb
+        value, total = softmax_parts(share, np.maximum(kind, 0), self._small(w.c, w.cb))
         inner = np.flatnonzero((goal >= 0) & (goal < HEAD))
-        inner = inner[np.argsort(kind[inner], kind="stable")]
+        inner = inner[np.argsort(kind[inner].astype(np.int16), kind="stable")]
         words = self._inside(out[inner], kind[inner])
-        value[inner] += np.log(words[np.arange(len(inner)), goal[inner] % CLASS_SIZE] + 1e-30)
-        return value.reshape(steps, n), hs[-1], (ids, hs, gates, kind, goal, share, inner, words)
+        gain, inner_total = softmax_parts(words, goal[inner] % CLASS_SIZE, self._small(w.w.transpose(1, 0, 2), w.wb))
+        value[inner] += gain
+        return value.reshape(steps, n), hs[-1], (ids, hs, gates, kind, goal, share, total, inner, words, inner_total)
+
+    @staticmethod
+    def _small(weights: np.ndarray, bias: np.ndarray) -> bool:
+        """Whether no logit can leave the range of exp in float32, as a state's entries are within one."""
+        return float((np.abs(weights).sum(0) + np.abs(bias)).max()) < 60.0
 
     def _inside(self, out: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Softmax inside the class; rows are sorted by class."""
+        """Logits inside the class; rows are sorted by class."""
         words = np.empty((len(out), CLASS_SIZE), np.float32)
         edge = np.searchsorted(kind, np.arange(HEAD // CLASS_SIZE + 1))
         for c in np.flatnonzero(np.diff(edge)):
             words[edge[c]:edge[c + 1]] = out[edge[c]:edge[c + 1]] @ self.w.w[c] + self.w.wb[c]
-        words -= words.max(1, keepdims=True) if len(words) else 0
-        np.exp(words, out=words)
-        words /= words.sum(1, keepdims=True)
         return words
 
     def gradient(self, kept: tuple) -> np.ndarray:
         """Gradient of the window's mean negative log probability; positions without a target (-1) count nothing."""
-        ids, hs, gates, kind, goal, share, inner, words = kept
+        ids, hs, gates, kind, goal, share, total, inner, words, inner_total = kept
         w, (steps, n) = self.w, ids.shape
         g = Weights(np.zeros_like(w.flat), w.classes)
         out, live = hs[1:].reshape(-1, HIDDEN), goal >= 0
-        share[np.arange(len(goal)), np.maximum(kind, 0)] -= 1.0
-        share[~live] = 0.0
+        share *= (live / total)[:, None].astype(np.float32)
+        share[np.flatnonzero(live), kind[live]] -= 1.0
         g.c[:] = out.T @ share
-        g.cb[:] = share.sum(0)
+        g.cb[:] = np.ones(len(share), np.float32) @ share
         back = share @ w.c.T
+        words *= (1.0 / inner_total)[:, None]
         words[np.arange(len(inner)), goal[inner] % CLASS_SIZE] -= 1.0
         edge = np.searchsorted(kind[inner], np.arange(HEAD // CLASS_SIZE + 1))
         for c in np.flatnonzero(np.diff(edge)):
@@ -192,90 +218,100 @@ class Network:
             g.wb[c] = part.sum(0)
             back[rows] += part @ w.w[c].T
         back = back.reshape(steps, n, HIDDEN)
-        into = np.empty((steps, n, 3 * HIDDEN), np.float32)
+        into = [np.empty((steps, n, HIDDEN), np.float32) for _ in range(3)]
         carry = np.zeros((n, HIDDEN), np.float32)
-        uz, un = w.u[:, :2 * HIDDEN].T, w.u[:, 2 * HIDDEN:].T
+        uz, ur, un = (np.ascontiguousarray(u.T) for u in thirds(w.u))
         for t in range(steps - 1, -1, -1):
-            h, a = hs[t], gates[t]
-            z, r, c = a[:, :HIDDEN], a[:, HIDDEN:2 * HIDDEN], a[:, 2 * HIDDEN:]
+            h, (z, r, c), (dz, dr, dc) = hs[t], (x[t] for x in gates), (x[t] for x in into)
             d = back[t] + carry
-            dc = d * z * (1 - c * c)
+            np.multiply(d * z, 1 - c * c, out=dc)
             rh = dc @ un
-            d3 = into[t]
-            d3[:, :HIDDEN] = d * (c - h) * z * (1 - z)
-            d3[:, HIDDEN:2 * HIDDEN] = rh * h * r * (1 - r)
-            d3[:, 2 * HIDDEN:] = dc
-            carry = d * (1 - z) + rh * r + d3[:, :2 * HIDDEN] @ uz
-        flat = into.reshape(-1, 3 * HIDDEN)
+            past = 1 - z
+            np.multiply(d * (c - h), z * past, out=dz)
+            rh *= r
+            np.multiply(rh * h, 1 - r, out=dr)
+            carry = d * past + rh + dz @ uz + dr @ ur
         before = hs[:-1].reshape(-1, HIDDEN)
-        g.u[:, :2 * HIDDEN] = before.T @ flat[:, :2 * HIDDEN]
-        g.u[:, 2 * HIDDEN:] = (gates[:, :, HIDDEN:2 * HIDDEN].reshape(-1, HIDDEN) * before).T @ flat[:, 2 * HIDDEN:]
-        order = np.argsort(ids.reshape(-1), kind="stable")
+        read = (before, before, gates[1].reshape(-1, HIDDEN) * before)
+        order = np.argsort(ids.reshape(-1).astype(np.int16), kind="stable")
         seen = ids.reshape(-1)[order]
         first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
-        g.x[seen[first]] = np.add.reduceat(flat[order], first, axis=0)
+        for k, part in enumerate(x.reshape(-1, HIDDEN) for x in into):
+            at = slice(k * HIDDEN, (k + 1) * HIDDEN)
+            g.u[:, at] = read[k].T @ part
+            g.x[seen[first], at] = np.add.reduceat(np.take(part, order, axis=0), first, axis=0)
         g.flat /= max(1, int(live.sum()))
         return g.flat
 
 
+class _Numbers(dict):
+    """Numbers of words seen so far; a new word is looked up once."""
+
+    def __init__(self, known: dict[bytes, int]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = self.known.get(word, -1 - tail_class(word))
+        return found
+
+
 class Reader:
     """Model ids of words, and what the lexicon alone says of them."""
 
     def __init__(self, lex: Lexicon):
         self.lex = lex
         self.number = {w: i for i, w in enumerate(lex.words)}
-        self.memo: dict[bytes, int] = {}
+        self.memo = _Numbers(self.number)
+        late = [HEAD + tail_class(w) for w in lex.words[lex.head:]]
+        #: model id by number; -1 - class of another word counts from the end
+        self.model = np.array([*range(lex.head), *late, *range(HEAD + TAILS - 1, HEAD - 1, -1)], dtype=np.int16)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Number of a heavy word; -1 - class of another."""
         if len(self.memo) > 400_000:
-            self.memo = {}
-        memo = self.memo
-        for w in set(words).difference(memo):
-            memo[w] = self.number.get(w, -1 - tail_class(w))
-        return np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
+            self.memo = _Numbers(self.number)
+        return np.fromiter(map(self.memo.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def model_ids(self, ids: np.ndarray, words: list[bytes]) -> np.ndarray:
+    def model_ids(self, ids: np.ndarray) -> np.ndarray:
         """Below HEAD: the model's words; from HEAD: tail classes."""
-        out = np.where(ids < 0, HEAD - 1 - ids, ids)
-        late = np.flatnonzero((ids >= self.lex.head))
-        if len(late):
-            shape = self.heavy_tail[ids[late] - self.lex.head]
-            out[late] = HEAD + shape
-        return out
-
-    @property
-    def heavy_tail(self) -> np.ndarray:
-        if not hasattr(self, "_heavy_tail"):
-            self._heavy_tail = np.array([tail_class(w) for w in self.lex.words[self.lex.head:]], dtype=np.int64)
-        return self._heavy_tail
+        return self.model[ids]
 
 
-def in_streams(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents side by side, longest first: (document numbers, inputs, targets, whether they go on) a
-    window at a time. A document's input begins with the end word, and its last target is the end."""
+def in_streams(texts: list[np.ndarray], end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents in at most STREAMS lanes, a window at a time: (lanes, their documents, whether a document
+    begins, inputs, targets). Each document goes on in one lane, the next begins at a window's edge; longest
+    first to the emptiest lane. A document's input begins with the end word, and its last target is the end."""
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    for at in range(0, len(order), STREAMS):
-        group = order[at:at + STREAMS]
-        size = np.array([len(texts[i]) for i in group])
-        for t in range(0, int(size[0]), WINDOW):
-            live = int((size > t).sum())
-            steps = min(WINDOW, int(size[0]) - t)
-            goal = np.full((steps, live), -1, np.int64)
-            for s in range(live):
-                part = texts[group[s]][t:t + steps]
-                goal[:len(part), s] = part
-            first = np.array([texts[i][t - 1] if t else -1 for i in group[:live]])
-            yield np.array(group[:live]), first, goal, np.array(t)
+    height = [-(-len(texts[i]) // WINDOW) for i in order]
+    width = min(STREAMS, -(-sum(height) // max(height)))
+    heap, place = [(0, lane) for lane in range(width)], []
+    for h in height:
+        used, lane = heap[0]
+        place.append((used, lane))
+        heapq.heapreplace(heap, (used + h, lane))
+    rows = max(used for used, _ in heap)
+    goal = np.full((rows * WINDOW, width), -1, np.int16)
+    ids = np.zeros((rows * WINDOW, width), np.int16)
+    owner, fresh = np.full((rows, width), -1, np.int64), np.zeros((rows, width), bool)
+    for i, h, (used, lane) in zip(order, height, place):
+        at, text = used * WINDOW, texts[i]
+        goal[at:at + len(text), lane] = text
+        ids[at, lane] = end
+        ids[at + 1:at + len(text), lane] = text[:-1]
+        owner[used:used + h, lane] = i
+        fresh[used, lane] = True
+    for t in range(rows):
+        lanes, steps = np.flatnonzero(owner[t] >= 0), slice(t * WINDOW, (t + 1) * WINDOW)
+        yield lanes, owner[t, lanes], fresh[t, lanes], ids[steps, lanes], goal[steps, lanes]
 
 
 def _run(net: Network, texts: list[np.ndarray], end: int):
     """All windows of a set of documents: (documents, log probabilities, targets, kept), state carried along."""
-    state = np.zeros((0, HIDDEN), np.float32)
-    for group, first, goal, t in in_streams(texts):
-        state = np.zeros((len(group), HIDDEN), np.float32) if t == 0 else state[:len(group)]
-        ids = np.vstack([np.where(first < 0, end, first)[None], np.maximum(goal[:-1], 0)])
-        value, state, kept = net.window(ids, goal, state)
+    state = np.zeros((STREAMS, HIDDEN), np.float32)
+    for lanes, group, fresh, ids, goal in in_streams(texts, end):
+        state[lanes[fresh]] = 0.0
+        value, state[lanes], kept = net.window(ids, goal, state[lanes])
         yield group, value, goal, kept
 
 
@@ -289,37 +325,82 @@ def worker_reader(tag: str, shared: Broadcast) -> Reader:
     return _WORKER[tag]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[tuple[list[list[bytes]], list[tuple]]]:
-    """Words of runs of documents of about ``limit`` bytes, the end behind each, and their other columns."""
-    words, other, size = [], [], 0
+ROW_COLUMNS = ("`{key}` {kind}, train boolean, part int, n_tokens long, n_known long, base_score double, rest double, "
+               "rare array<binary>, times array<long>, ids binary")
+
+
+def numbered(docs: DataFrame, shared: Broadcast, tag: str, key: str) -> DataFrame:
+    """Per row, stored under a row name: the model ids of its tokens, and what the lexicon alone gives: sums
+    over heavy words, and the distinct other words with how often they occur.
+
+    ``rest`` is what a model's class leaves open: a tail word's share of its class, in log10."""
+    kind = dict(docs.dtypes)[key]
+    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from panelspark.llm import gated_lm as lm
+        reader = lm.worker_reader(tag, shared)
+        lex = reader.lex
+        base = np.log10((lex.counts + 1.0) / (lex.tokens + lex.distinct + 1.0)) if len(lex.words) else np.zeros(0)
+        room = np.log10(lex.tail_tokens + lex.tail_distinct + 1.0)
+        #: by number, the classes of other words from the end
+        rest = np.concatenate([np.zeros(lex.head), np.log10(lex.counts[lex.head:] + 1.0), np.zeros(lm.TAILS)])
+        late = np.flatnonzero(reader.model >= lm.HEAD)
+        rest[late] -= room[reader.model[late] - lm.HEAD]
+        for batch in batches:
+            count, known, base_sum, rest_sum, rare, times, packed = [], [], [], [], [], [], []
+            for value in batch.column(3):
+                words = [*value.as_py().lower().split(), lm.END]
+                n = reader.ids(words)
+                light = Counter(words[i] for i in np.flatnonzero(n < 0).tolist())
+                heavy = n[n >= 0]
+                count.append(len(n))
+                known.append(len(heavy))
+                base_sum.append(float(base[heavy].sum()))
+                rest_sum.append(float(rest[n].sum()))
+                rare.append(list(light))
+                times.append(list(light.values()))
+                packed.append(reader.model_ids(n).astype("<i2").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(count, pa.int64()), pa.array(known, pa.int64()), pa.array(base_sum, pa.float64()),
+                 pa.array(rest_sum, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
+                names=[key, "train", "part", "n_tokens", "n_known", "base_score", "rest", "rare", "times", "ids"])
+
+    rows = docs.select(key, "train", "part", text_bytes().alias("_text")).mapInArrow(number, ROW_COLUMNS.format(key=key, kind=kind))
+    return stored(rows.withColumn("_row", F.expr("uuid()")), "lm-rows")
+
+
+def id_runs(batches: Iterator[pa.RecordBatch], limit: int = 1 << 23) -> Iterator[tuple[list[np.ndarray], list[str]]]:
+    """Model ids of runs of rows with about ``limit`` tokens, and the row names; the more rows stand side by
+    side, the fuller the windows."""
+    texts, names, size = [], [], 0
     for batch in batches:
-        rest = [batch.column(c).to_pylist() for c in range(batch.num_columns) if c != column]
-        for i, value in enumerate(batch.column(column)):
-            raw = value.as_py().lower()
-            words.append([*raw.split(), END])
-            other.append(tuple(c[i] for c in rest))
-            size += len(raw)
-            if size > limit:
-                yield words, other
-                words, other, size = [], [], 0
-    if words:
-        yield words, other
-
-
-def train_round(docs: DataFrame, shared: Broadcast, tag: str, flat: np.ndarray, classes: int, rate: float) -> np.ndarray:
+        names += batch.column(0).to_pylist()
+        for value in batch.column(1):
+            texts.append(np.frombuffer(value.as_py(), dtype="<i2"))
+            size += len(texts[-1])
+        if size > limit:
+            yield texts, names
+            texts, names, size = [], [], 0
+    if texts:
+        yield texts, names
+
+
+def end_id(lex: Lexicon) -> int:
+    return lex.words.index(END) if END in lex.words[:lex.head] else HEAD + tail_class(END)
+
+
+def train_round(rows: DataFrame, end: int, flat: np.ndarray, classes: int, rate: float) -> np.ndarray:
     """Weights after one part of the documents: tasks train from the same start; the average by tokens.
 
     Sums are of whole numbers (weights times 2^20 times tokens), so they do not depend on the order of tasks."""
-    start = docs.sparkSession.sparkContext.broadcast(flat)
+    start = rows.sparkSession.sparkContext.broadcast(flat)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from panelspark.llm import gated_lm as lm
-        reader = lm.worker_reader(tag, shared)
         w = lm.Weights(start.value.copy(), classes)
         net, power, tokens = lm.Network(w), np.full(len(w.flat), 1e-6, np.float32), 0
-        end = reader.number[lm.END] if lm.END in reader.number else lm.HEAD
-        for words, _ in lm._batches(batches, 0, 1 << 22):
-            texts = [reader.model_ids(reader.ids(x), x) for x in words]
+        for texts, _ in lm.id_runs(batches):
             tokens += sum(map(len, texts))
             for _, _, _, kept in lm._run(net, texts, end):
                 g = net.gradient(kept)
@@ -331,7 +412,7 @@ def train_round(docs: DataFrame, shared: Broadcast, tag: str, flat: np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(moved), dtype=np.int32)), pa.array(moved), pa.array(np.full(len(moved), tokens))],
                                              names=["i", "v", "tokens"])
 
-    moved = docs.select(text_bytes().alias("_text")).mapInArrow(train, "i int, v long, tokens long")
+    moved = rows.select("_row", "ids").mapInArrow(train, "i int, v long, tokens long")
     sums = moved.groupBy("i").agg((F.sum(F.col("v").cast("decimal(20,0)") * F.col("tokens")) / F.sum("tokens")).cast("double").alias("v"))
     out = flat.copy()
     for r in sums.toLocalIterator():  # one number per weight
@@ -339,63 +420,34 @@ def train_round(docs: DataFrame, shared: Broadcast, tag: str, flat: np.ndarray,
     return out
 
 
-def score_documents(docs: DataFrame, counts: DataFrame, lex: Lexicon, flat: np.ndarray, key: str) -> DataFrame:
-    """Per row: key, n_tokens, n_known, base_score and score (log10), by a hidden row number.
+def score_rows(rows: DataFrame, counts: DataFrame, lex: Lexicon, flat: np.ndarray, key: str) -> DataFrame:
+    """Per numbered row: key, n_tokens, n_known, base_score and score (log10).
 
-    Heavy words are scored in the tasks. Words that are not heavy are joined to their counts: no such
-    word has more than a HEAVY-th of the tokens, so no join key is hot.
+    Words that are not heavy are joined to their counts: no such word has more than a HEAVY-th of the
+    tokens, so no join key is hot.
     """
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
-    shared, weights = spark.sparkContext.broadcast(lex), spark.sparkContext.broadcast(flat)
-    tag = uuid.uuid4().hex
+    weights, end, classes = rows.sparkSession.sparkContext.broadcast(flat), end_id(lex), lex.classes
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from panelspark.llm import gated_lm as lm
-        reader = lm.worker_reader(tag, shared)
-        lex = reader.lex
-        net = lm.Network(lm.Weights(weights.value, lex.classes))
-        end = reader.number[lm.END] if lm.END in reader.number else lm.HEAD
-        base = np.log10((lex.counts + 1.0) / (lex.tokens + lex.distinct + 1.0)) if len(lex.words) else np.zeros(0)
-        deep = np.concatenate([lex.counts, [0]])
-        room = np.log10(lex.tail_tokens + lex.tail_distinct + 1.0)
-        for words, other in lm._batches(batches, 1, 1 << 22):
-            numbers = [reader.ids(x) for x in words]
-            texts = [reader.model_ids(n, x) for n, x in zip(numbers, words)]
+        net = lm.Network(lm.Weights(weights.value, classes))
+        for texts, names in lm.id_runs(batches):
             model = np.zeros(len(texts))
             for group, value, goal, _ in lm._run(net, texts, end):
-                np.add.at(model, group, np.where(goal >= 0, value, 0.0).sum(0) / np.log(10.0))
-            keys, count, known, base_sum, score, rare, times = [], [], [], [], [], [], []
-            for i, (n, m, x) in enumerate(zip(numbers, texts, words)):
-                heavy = n[n >= 0]
-                late = heavy[heavy >= lex.head]
-                tail = m[m >= lm.HEAD] - lm.HEAD
-                light = Counter(w for w, k in zip(x, n.tolist()) if k < 0)
-                keys.append(other[i][0])
-                count.append(len(n))
-                known.append(len(heavy))
-                base_sum.append(float(base[heavy].sum()))
-                score.append(float(model[i] - room[tail].sum() + np.log10(deep[late] + 1.0).sum()))
-                rare.append(list(light))
-                times.append(list(light.values()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, key_type), pa.array(count, pa.int64()), pa.array(known, pa.int64()), pa.array(base_sum), pa.array(score),
-                 pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                names=[key, "n_tokens", "n_known", "base_score", "score", "rare", "times"])
+                model[group] += np.where(goal >= 0, value, 0.0).sum(0) / np.log(10.0)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(model)], names=["_row", "model"])
 
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    rows = docs.select(key, text_bytes().alias("_text")).mapInArrow(
-        score, f"`{key}` {kind}, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<long>")
-    rows = stored(rows.withColumn("_row", F.expr("uuid()")), "lm-rows")
+    model = rows.select("_row", "ids").mapInArrow(score, "_row string, model double")
     light = counts.where(F.col("n") * HEAVY <= lex.tokens)
     pairs = rows.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("_row", F.col("p.rare").alias("word"), F.col("p.times").alias("t"))
-    # what a word adds: log10(c + 1) to both scores; the denominators are in the task's part or below
+    # what a word adds: log10(c + 1) to both scores; the denominators are in the row's own part or below
     gain = pairs.join(light, "word").groupBy("_row").agg(F.sum("t").alias("known"), F.sum(F.col("t") * F.log10(F.col("n") + 1.0)).alias("gain"))
     light_tokens = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
     lost = light_tokens * float(np.log10(lex.tokens + lex.distinct + 1.0))
     more = F.coalesce("gain", F.lit(0.0))
-    return rows.withColumn("lost", lost).drop("rare", "times").join(gain, "_row", "left").select(
+    return rows.withColumn("lost", lost).drop("rare", "times", "ids").join(model, "_row").join(gain, "_row", "left").select(
         key, "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        (F.col("base_score") - F.col("lost") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+        (F.col("base_score") - F.col("lost") + more).alias("base_score"), (F.col("model") + F.col("rest") + more).alias("score"))
 
 
 def language_model(docs: DataFrame, held, key: str = "doc_id", rounds: int = 3, rate: float = 0.05) -> DataFrame:
@@ -405,14 +457,14 @@ def language_model(docs: DataFrame, held, key: str = "doc_id", rounds: int = 3,
     no training row every word is unknown and the model is its start. Rows without a key train.
     """
     spark = ship(docs.sparkSession)
-    docs = docs.select(key, "text", (~held).alias("train"))
+    part = F.coalesce(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(rounds)), F.lit(0)).cast("int")
+    docs = docs.select(key, "text", (~held).alias("train"), part.alias("part"))
     counts = word_counts(docs)
     lex = lexicon(counts)
     shared, tag = spark.sparkContext.broadcast(lex), uuid.uuid4().hex
     weights = Weights.start(lex)
     flat, classes = weights.flat, weights.classes
-    part = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(rounds))
+    rows, end = numbered(docs, shared, tag, key), end_id(lex)
     for r in range(rounds):
-        flat = train_round(docs.where(F.col("train") & (part == r)), shared, tag, flat, classes, rate / (1 + r))
-    scored = score_documents(docs, counts, lex, flat, key)
-    return scored.withColumn("train_tokens", F.lit(lex.tokens).cast("long"))
+        flat = train_round(rows.where(F.col("train") & (F.col("part") == r)), end, flat, classes, rate / (1 + r))
+    return score_rows(rows, counts, lex, flat, key).withColumn("train_tokens", F.lit(lex.tokens).cast("long"))
