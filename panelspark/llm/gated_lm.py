@@ -28,7 +28,7 @@ from panelspark.llm.common import ship, stored, text_bytes
 
 HEAD, CLASS_SIZE, TAILS, HIDDEN, WINDOW, STREAMS = 1024, 64, 16, 12, 20, 512
 END = b"\n"  # no word has white space in it
-HEAVY = 1 << 18  # a word with over 1 / HEAVY of all tokens is heavy; there are fewer than HEAVY
+HEAVY = 1 << 20  # a word with over 1 / HEAVY of all tokens is heavy; there are fewer than HEAVY
 
 
 def tail_class(word: bytes) -> int:
@@ -83,7 +83,8 @@ def lexicon(counts: DataFrame) -> Lexicon:
     """From the counts table; fewer than HEAVY words and 16 sums come to the driver."""
     total = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens, distinct = int(total[0] or 0), int(total[1])
-    heavy = sorted(((bytes(r[0]), r[1]) for r in counts.where(F.col("n") * HEAVY > tokens).collect()), key=lambda x: (-x[1], x[0]))
+    found = counts.where(F.col("n") * HEAVY > tokens).toArrow()
+    heavy = sorted(zip(found["word"].to_pylist(), found["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
     tail_tokens, tail_distinct = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
     size = F.octet_length("word")
     last = F.substring(F.col("word"), -1, 1)
@@ -370,20 +371,20 @@ def numbered(docs: DataFrame, shared: Broadcast, tag: str, key: str) -> DataFram
     return stored(rows.withColumn("_row", F.expr("uuid()")), "lm-rows")
 
 
-def id_runs(batches: Iterator[pa.RecordBatch], limit: int = 1 << 23) -> Iterator[tuple[list[np.ndarray], list[str]]]:
-    """Model ids of runs of rows with about ``limit`` tokens, and the row names; the more rows stand side by
-    side, the fuller the windows."""
-    texts, names, size = [], [], 0
+def id_runs(batches: Iterator[pa.RecordBatch], limit: int = 1 << 23) -> Iterator[tuple[list[np.ndarray], pa.Table]]:
+    """Model ids (the first column) of runs of rows with about ``limit`` tokens, and their other columns; the
+    more rows stand side by side, the fuller the windows."""
+    texts, other, size = [], [], 0
     for batch in batches:
-        names += batch.column(0).to_pylist()
-        for value in batch.column(1):
+        other.append(batch.select(batch.schema.names[1:]))
+        for value in batch.column(0):
             texts.append(np.frombuffer(value.as_py(), dtype="<i2"))
             size += len(texts[-1])
         if size > limit:
-            yield texts, names
-            texts, names, size = [], [], 0
+            yield texts, pa.Table.from_batches(other)
+            texts, other, size = [], [], 0
     if texts:
-        yield texts, names
+        yield texts, pa.Table.from_batches(other)
 
 
 def end_id(lex: Lexicon) -> int:
@@ -412,7 +413,7 @@ def train_round(rows: DataFrame, end: int, flat: np.ndarray, classes: int, rate:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(moved), dtype=np.int32)), pa.array(moved), pa.array(np.full(len(moved), tokens))],
                                              names=["i", "v", "tokens"])
 
-    moved = rows.select("_row", "ids").mapInArrow(train, "i int, v long, tokens long")
+    moved = rows.select("ids").mapInArrow(train, "i int, v long, tokens long")
     sums = moved.groupBy("i").agg((F.sum(F.col("v").cast("decimal(20,0)") * F.col("tokens")) / F.sum("tokens")).cast("double").alias("v"))
     out = flat.copy()
     for r in sums.toLocalIterator():  # one number per weight
@@ -431,21 +432,23 @@ def score_rows(rows: DataFrame, counts: DataFrame, lex: Lexicon, flat: np.ndarra
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from panelspark.llm import gated_lm as lm
         net = lm.Network(lm.Weights(weights.value, classes))
-        for texts, names in lm.id_runs(batches):
+        for texts, other in lm.id_runs(batches):
             model = np.zeros(len(texts))
             for group, value, goal, _ in lm._run(net, texts, end):
                 model[group] += np.where(goal >= 0, value, 0.0).sum(0) / np.log(10.0)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(model)], names=["_row", "model"])
+            yield from other.append_column("model", pa.array(model)).combine_chunks().to_batches()
 
-    model = rows.select("_row", "ids").mapInArrow(score, "_row string, model double")
+    light_tokens = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
+    lost = light_tokens * float(np.log10(lex.tokens + lex.distinct + 1.0))
+    kind = dict(rows.dtypes)[key]
+    scored = rows.select("ids", "_row", key, "n_tokens", "n_known", "base_score", "rest", lost.alias("lost")).mapInArrow(
+        score, f"_row string, `{key}` {kind}, n_tokens long, n_known long, base_score double, rest double, lost double, model double")
     light = counts.where(F.col("n") * HEAVY <= lex.tokens)
     pairs = rows.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("_row", F.col("p.rare").alias("word"), F.col("p.times").alias("t"))
     # what a word adds: log10(c + 1) to both scores; the denominators are in the row's own part or below
     gain = pairs.join(light, "word").groupBy("_row").agg(F.sum("t").alias("known"), F.sum(F.col("t") * F.log10(F.col("n") + 1.0)).alias("gain"))
-    light_tokens = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
-    lost = light_tokens * float(np.log10(lex.tokens + lex.distinct + 1.0))
     more = F.coalesce("gain", F.lit(0.0))
-    return rows.withColumn("lost", lost).drop("rare", "times", "ids").join(model, "_row").join(gain, "_row", "left").select(
+    return scored.join(gain, "_row", "left").select(
         key, "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         (F.col("base_score") - F.col("lost") + more).alias("base_score"), (F.col("model") + F.col("rest") + more).alias("score"))
 
