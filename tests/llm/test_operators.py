@@ -256,7 +256,10 @@ def test_templates(spark, docs):
     assert templates.contaminated(table, bench.limit(0)).count() == 0 and templates.contaminated(table.limit(0), bench).count() == 0
 
 
-def test_language_model(spark, docs, plain):
+@pytest.mark.parametrize("heavy", [gated_lm.HEAVY, 60])
+def test_language_model(spark, docs, plain, heavy, monkeypatch):
+    """With all words heavy, and with most of them joined to their counts."""
+    monkeypatch.setattr(gated_lm, "HEAVY", heavy)
     got = gated_lm.language_model(docs, held_out(7, 2), rounds=2).collect()
     assert len(got) == len(plain)
     train = [x for i, x in plain if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
@@ -268,6 +271,29 @@ def test_language_model(spark, docs, plain):
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
 
 
+@pytest.mark.parametrize("sizes", [[1], [20, 21, 1, 1], [900, *range(1, 60)], [3] * 1500])
+def test_lanes_hold_each_document_once(sizes):
+    """A document's windows follow each other in one lane, begin with the end word and hold every target."""
+    rng = np.random.default_rng(len(sizes))
+    texts = [rng.integers(0, 900, n).astype(np.int16) for n in sizes]
+    goals, inputs, lane_of = defaultdict(list), defaultdict(list), {}
+    for lanes, group, fresh, ids, goal in gated_lm.in_streams(texts, 901):
+        assert len(lanes) <= gated_lm.STREAMS and len(set(group.tolist())) == len(group)
+        for k, (lane, d) in enumerate(zip(lanes.tolist(), group.tolist())):
+            assert fresh[k] == (d not in lane_of) and lane_of.setdefault(d, lane) == lane
+            kept = goal[:, k] >= 0
+            goals[d] += goal[kept, k].tolist()
+            inputs[d] += ids[kept, k].tolist()
+    for d, text in enumerate(texts):
+        assert goals[d] == text.tolist() and inputs[d] == [901, *text[:-1].tolist()]
+
+
+def test_softmax_parts_do_not_overflow():
+    logits = np.array([[500.0, 499.0], [-500.0, -499.0]], np.float32)
+    value, _ = gated_lm.softmax_parts(logits, np.array([0, 1]), False)
+    np.testing.assert_allclose(value, -np.log1p(np.exp(-1.0)), rtol=1e-5)
+
+
 def test_gradient_by_differences():
     lex = gated_lm.Lexicon(tuple(f"w{i}".encode() for i in range(40)), np.arange(80, 40, -1), 4000, 900, np.full(16, 20), np.full(16, 5))
     w = gated_lm.Weights.start(lex)
