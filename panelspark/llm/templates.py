@@ -10,6 +10,7 @@ item must always have become the same value, else the matches of that alignment
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ _UNITS = frozenset(("mm cm m km inch inches ft feet yard yards mile miles g kg m
                     "w kw mw kwh v volt volts c f celsius fahrenheit degree degrees").split())
 _EDGE = re.compile(r"^\W+|\W+$")
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
-_PLACE = {NUMBER: b"\0number", NAME: b"\0name", UNIT: b"\0unit"}
+_PLACE = {k: xxhash.xxh3_64_intdigest(name) for k, name in ((NUMBER, b"\0number"), (NAME, b"\0name"), (UNIT, b"\0unit"))}
 BITS = 24
 
 
@@ -44,49 +45,57 @@ class Rule:
     enough: int = 4
 
 
-def kind_of(word: str, bare: str, opens: bool) -> int:
-    if _NUMBER.fullmatch(bare) or bare.lower() in _NUMBER_WORDS:
+def kind_of(bare: str, opens: bool) -> int:
+    lower = bare.lower()
+    if lower in _NUMBER_WORDS or not bare.isalpha() and _NUMBER.fullmatch(bare):
         return NUMBER
-    if bare.lower() in _UNITS and len(bare) > 1:
+    if lower in _UNITS and len(bare) > 1:
         return UNIT
     if not opens and bare[:1].isupper() and len(bare) > 1:
         return NAME
     return LITERAL
 
 
-class Canonical:
-    """Template tokens of texts; what depends on the word alone is kept per worker."""
+class _Seen(dict):
+    """Number of each word; a new word's properties go to the end of the columns."""
 
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
-        self.words: dict[bytes, tuple] = {}
+    def __init__(self):
+        super().__init__()
+        #: template hash and kind inside a sentence, the same at its start, value hash, ends a sentence, has a letter or digit
+        self.columns: tuple[array, ...] = tuple(array(c) for c in "QbQbQbb")
 
-    def _look(self, raw: bytes) -> tuple:
-        """(hash of the literal, kind inside a sentence, kind at its start, value hash, ends a sentence)."""
+    def __missing__(self, raw: bytes) -> int:
         word = raw.decode("utf-8", "replace")
-        bare = _EDGE.sub("", word)
+        # most words are letters, perhaps with a full stop or comma: nothing else to strip
+        bare = word if word.isalnum() else word[:-1] if word[-1] in ".," and word[:-1].isalnum() else _EDGE.sub("", word)
         value = xxhash.xxh3_64_intdigest(bare.lower().encode())
-        found = (value, kind_of(word, bare, False), kind_of(word, bare, True), value, word[-1] in ".!?", bool(bare))
-        self.words[raw] = found
+        opening = kind_of(bare, True)
+        inside = kind_of(bare, False) if opening == LITERAL else opening
+        for column, v in zip(self.columns, (_PLACE.get(inside, value), inside, _PLACE.get(opening, value), opening, value, word[-1] in ".!?", bool(bare))):
+            column.append(v)
+        found = self[raw] = len(self)
         return found
 
+
+class Canonical:
+    """Template tokens of texts; what depends on the word alone is kept per worker."""
+
+    def __init__(self, limit: int = 400_000):
+        self.limit = limit
+        self.words = _Seen()
+
     def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: template hash, kind, value hash. Words of punctuation alone are left out."""
         if len(self.words) > self.limit:
-            self.words = {}
-        words, get = text.split(), self.words.get
+            self.words = _Seen()
+        words = text.split()
         if not words:
             return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
-        found = [get(w) or self._look(w) for w in words]
-        literal, inside, opening, value, ends, real = zip(*found)
-        ends = np.array(ends)
-        opens = np.concatenate([[True], ends[:-1]])
-        kind = np.where(opens, np.array(opening, np.int8), np.array(inside, np.int8))
-        code = np.array(literal, dtype=np.uint64)
-        for k, name in _PLACE.items():
-            code[kind == k] = np.uint64(xxhash.xxh3_64_intdigest(name))
-        real = np.array(real)
-        return code[real], kind[real], np.array(value, dtype=np.uint64)[real]
+        at = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
+        code, kind, opening_code, opening, value, ends, real = (np.frombuffer(c, dtype=c.typecode)[at] for c in self.words.columns)
+        opens = np.concatenate([[True], ends[:-1] > 0])
+        real = real > 0
+        return np.where(opens, opening_code, code)[real], np.where(opens, opening, kind)[real], value[real]
 
 
 def window_hashes(code: np.ndarray, kind: np.ndarray, rule: Rule, short: bool) -> tuple[np.ndarray, np.ndarray]:
