@@ -37,8 +37,10 @@ BITS = 24
 
 @dataclass(frozen=True)
 class Rule:
-    """A window has ``window`` template tokens, ``literals`` of them literal at least. A document holds an
-    item if ``enough`` windows of it (or all, if it has fewer) stand in it along one alignment."""
+    """A window has ``window`` template tokens (or the whole item, if it is shorter), ``literals`` of them
+    literal at least (or all). A document holds an item if ``enough`` windows of it (or all, if it has
+    fewer) stand in it along one alignment. Templates of an item without any such window say too
+    little: its windows are compared word by word, with the values of their slots."""
 
     window: int = 8
     literals: int = 5
@@ -77,6 +79,17 @@ class _Seen(dict):
         return found
 
 
+@dataclass(frozen=True)
+class Tokens:
+    """Per token of a text: template hash, kind, hash of the word, template hash and kind at a sentence's start."""
+
+    code: np.ndarray
+    kind: np.ndarray
+    value: np.ndarray
+    opening_code: np.ndarray
+    opening: np.ndarray
+
+
 class Canonical:
     """Template tokens of texts; what depends on the word alone is kept per worker."""
 
@@ -84,34 +97,59 @@ class Canonical:
         self.limit = limit
         self.words = _Seen()
 
-    def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token: template hash, kind, value hash. Words of punctuation alone are left out."""
+    def tokens(self, text: bytes) -> Tokens:
+        """Words of punctuation alone are left out."""
         if len(self.words) > self.limit:
             self.words = _Seen()
         words = text.split()
         if not words:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
+            return Tokens(*(np.zeros(0, t) for t in (np.uint64, np.int8, np.uint64, np.uint64, np.int8)))
         at = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
         code, kind, opening_code, opening, value, ends, real = (np.frombuffer(c, dtype=c.typecode)[at] for c in self.words.columns)
         opens = np.concatenate([[True], ends[:-1] > 0])
         real = real > 0
-        return np.where(opens, opening_code, code)[real], np.where(opens, opening, kind)[real], value[real]
+        return Tokens(np.where(opens, opening_code, code)[real], np.where(opens, opening, kind)[real], value[real],
+                      opening_code[real], opening[real])
+
 
+def _mixed(columns: list[np.ndarray], salt: int) -> np.ndarray:
+    h = np.full(len(columns[0]), salt, dtype=np.uint64)
+    for c in columns:
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + c
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
-def window_hashes(code: np.ndarray, kind: np.ndarray, rule: Rule, short: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows with enough literals, and where they begin. ``short``: a text with fewer
-    tokens than a window counts as one window."""
-    width = min(rule.window, len(code)) if short else rule.window
-    n = len(code) - width + 1
+
+def window_hashes(t: Tokens, rule: Rule, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the windows of ``width`` tokens with enough literals, where they begin, and whether their
+    first word is taken as one that opens a sentence. A negative width: all windows, by their words.
+
+    An item's first word opens a sentence, the same word inside a document's sentence may be a name:
+    such a place has a second window, with the word as it is at a sentence's start.
+    """
+    exact, width = width < 0, abs(width)
+    n = len(t.code) - width + 1
     if n < 1 or width < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(width):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + code[k:k + n]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    literal = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    keep = np.flatnonzero(literal[width:] - literal[:n] >= min(rule.literals, width))
-    return h[keep], keep
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    salt = 2 * (rule.window - width) + exact
+    if exact:
+        return _mixed([t.value[k:k + n] for k in range(width)], salt), np.arange(n), np.zeros(n, bool)
+    h = _mixed([t.code[k:k + n] for k in range(width)], salt)
+    literal = np.concatenate([[0], np.cumsum(t.kind == LITERAL)])
+    literals = literal[width:] - literal[:n]
+    least = min(rule.literals, width)
+    keep = np.flatnonzero(literals >= least)
+    named = np.flatnonzero((t.kind[:n] == NAME) & (t.opening[:n] == LITERAL) & (literals + 1 >= least))
+    if not len(named):
+        return h[keep], keep, np.zeros(len(keep), bool)
+    second = _mixed([t.opening_code[named], *(t.code[named + k] for k in range(1, width))], salt)
+    return (np.concatenate([h[keep], second]), np.concatenate([keep, named]),
+            np.concatenate([np.zeros(len(keep), bool), np.ones(len(named), bool)]))
+
+
+def item_width(t: Tokens, rule: Rule) -> int:
+    """The width of an item's windows; negative if they are compared by their words."""
+    width = min(rule.window, len(t.code))
+    return width if (~window_hashes(t, rule, width)[2]).any() else -width
 
 
 _WORKER: list[Canonical] = []
@@ -123,8 +161,12 @@ def worker_canonical() -> Canonical:
     return _WORKER[0]
 
 
-def windows(rows: DataFrame, key: str, rule: Rule, bits: np.ndarray | None) -> DataFrame:
-    """(key, tokens, hash, place, slots): windows of every text. With ``bits``, those that may be in the benchmark."""
+def windows(rows: DataFrame, key: str, rule: Rule, bits: np.ndarray | None, widths: tuple[int, ...] = ()) -> DataFrame:
+    """(key, tokens, width, hash, place, slots): windows of every text. With ``bits``, those of ``widths`` that
+    may be in the benchmark; without, each text is an item and has the width its length asks for.
+
+    A window below ``rule.window`` is a whole item, so a document needs it only where it first stands.
+    """
     kind_of_key = dict(rows.dtypes)[key]
     shared = ship(rows.sparkSession).sparkContext.broadcast(bits)
     types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -133,31 +175,39 @@ def windows(rows: DataFrame, key: str, rule: Rule, bits: np.ndarray | None) -> D
         from panelspark.llm.templates import worker_canonical
         canonical, mask = worker_canonical(), shared.value
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for k, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                code, kind, held = canonical.tokens(value.as_py())
-                h, at = window_hashes(code, kind, rule, mask is None)
-                if mask is not None and len(h):
-                    spot = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                    hit = (mask[spot >> 3] >> (spot & 7)) & 1 > 0
-                    h, at = h[hit], at[hit]
-                for x, p in zip(h.view(np.int64).tolist(), at.tolist()):
-                    span = slice(p, p + rule.window)
-                    slot = np.flatnonzero(kind[span] != LITERAL)
-                    for column, v in zip(out, (k, len(code), x, p, held[span][slot].view(np.int64).tolist())):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], types[kind_of_key]), *(pa.array(c, pa.int64()) for c in out[1:4]),
-                                              pa.array(out[4], pa.list_(pa.int64()))], names=[key, "tokens", "hash", "place", "slots"])
+                t = canonical.tokens(value.as_py())
+                for width in widths if mask is not None else (item_width(t, rule),):
+                    h, at, second = window_hashes(t, rule, width)
+                    if mask is not None and len(h):
+                        spot = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                        hit = (mask[spot >> 3] >> (spot & 7)) & 1 > 0
+                        h, at, second = h[hit], at[hit], second[hit]
+                    elif len(h):  # an item's first word opens it
+                        h, at, second = h[~second], at[~second], second[~second]
+                    once: set | None = set() if abs(width) < rule.window else None
+                    for x, p, o in zip(h.view(np.int64).tolist(), at.tolist(), second.tolist()):
+                        slot = np.flatnonzero(t.kind[p + o:max(p + width, p)] != LITERAL) + o
+                        slots = t.value[p + slot].view(np.int64).tolist()
+                        if once is not None:
+                            if (x, *slots) in once:
+                                continue
+                            once.add((x, *slots))
+                        for column, v in zip(out, (k, len(t.code), width, x, p, slots)):
+                            column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], types[kind_of_key]), *(pa.array(c, pa.int64()) for c in out[1:5]),
+                                              pa.array(out[5], pa.list_(pa.int64()))], names=[key, "tokens", "width", "hash", "place", "slots"])
 
     return rows.select(key, text_bytes().alias("_text")).mapInArrow(
-        cut, f"`{key}` {kind_of_key}, tokens long, hash long, place long, slots array<long>")
+        cut, f"`{key}` {kind_of_key}, tokens long, width long, hash long, place long, slots array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", rule: Rule = Rule()) -> DataFrame:
     """(key, item, n_windows, n_slots, reparameterised): the documents that hold a benchmark item.
 
-    One row per document and item, for the alignment with the most windows. Documents without
-    words, items without words and missing texts match nothing. Rows that share a key count as one
+    One row per document and item, for the alignment with the most windows; ``n_slots`` is 0 where
+    windows were compared word by word. Documents without words, items without words and missing texts match nothing. Rows that share a key count as one
     document, also those without a key. A bitmap of 2^24 bits over the benchmark's window hashes, of
     fixed size whatever the benchmark, keeps most windows from the shuffle; the hash join decides.
     """
@@ -167,7 +217,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     bits = np.zeros(1 << (BITS - 5), dtype="<u4")
     for r in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # 2^19 rows at most
         bits[r["w"]] = r["bits"] & 0xFFFFFFFF
-    found = stored(windows(docs, key, rule, bits.view(np.uint8)), "document-windows")
+    widths = tuple(r["width"] for r in items.select("width").distinct().collect())  # 2 * rule.window at most
+    found = stored(windows(docs, key, rule, bits.view(np.uint8), widths), "document-windows")
     sizes = items.groupBy(item).agg(F.count(F.lit(1)).alias("item_windows"))
     joined = found.join(items.select(item, "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")), "hash")
     joined = joined.where(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("place") - F.col("item_place"))

@@ -256,6 +256,18 @@ def test_templates(spark, docs):
     assert templates.contaminated(table, bench.limit(0)).count() == 0 and templates.contaminated(table.limit(0), bench).count() == 0
 
 
+def test_templates_of_short_and_dense_items(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France"), (2, "Which river crosses every old town in Spain"), (3, "Yes"),
+                                   (4, "12 kg 13 kg 14 kg 15 kg 16 kg 17 kg 18 kg"), (5, "Anna Berta 5 km")], "item_id long, text string")
+    texts = [(1, "some said What is the capital of France and left"), (2, "they ask: what is the capital of Norway today"),
+             (3, "tell me Which river crosses every old town in Peru first"), (4, "they said yes and Yes again"),
+             (5, "a list of 12 kg 13 kg 14 kg 15 kg 16 kg 17 kg 18 kg stands here"), (6, "a list of 22 kg 23 kg 24 kg 25 kg 26 kg 27 kg 28 kg stands here"),
+             (7, "so Anna Berta 5 km ran"), (8, "so Anna Berta 6 km ran"), (9, "what is the main city of France")]
+    got = {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in
+           templates.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1): False, (2, 1): True, (3, 2): True, (4, 3): False, (5, 4): False, (7, 5): False}
+
+
 @pytest.mark.parametrize("heavy", [gated_lm.HEAVY, 60])
 def test_language_model(spark, docs, plain, heavy, monkeypatch):
     """With all words heavy, and with most of them joined to their counts."""
