@@ -3,8 +3,8 @@
 Words become template tokens: numbers, names and units are replaced by typed placeholders, the rest
 is lower-cased and stripped of outer punctuation. Windows of template tokens are hash-joined with
 those of the benchmark, so an item is found again after its numbers or names were changed. The
-replaced words are the slots: along one alignment of document and item every slot value of the
-item must always have become the same value, else the matches of that alignment do not count.
+replaced words are the slots: along one alignment of document and item a slot value of the item must
+always have become the same value, else the windows that hold this value do not count.
 """
 
 from __future__ import annotations
@@ -203,6 +203,32 @@ def windows(rows: DataFrame, key: str, rule: Rule, bits: np.ndarray | None, widt
         cut, f"`{key}` {kind_of_key}, tokens long, width long, hash long, place long, slots array<long>")
 
 
+def consistent(matched: DataFrame, rule: Rule) -> DataFrame:
+    """The alignments with enough windows, without those that hold a slot value of the item that became
+    several: the same columns but the last two, n_windows, n_slots (values that became one), changed (any did)."""
+    schema = matched.drop("item_windows", "w").schema.add("n_windows", "long").add("n_slots", "long").add("changed", "boolean")
+    places = len(matched.columns) - 2
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, columns = [], [[], [], []]
+            for i, (size, pairs) in enumerate(zip(batch.column(places).to_pylist(), batch.column(places + 1).to_pylist())):
+                became: dict[int, int] = {}
+                torn: set[int] = set()
+                for w in pairs:
+                    torn.update(x for x, y in zip(w["item_slots"], w["slots"]) if became.setdefault(x, y) != y)
+                n = len({w["item_place"] for w in pairs if torn.isdisjoint(w["item_slots"])})
+                if n >= min(rule.enough, size):
+                    kept.append(i)
+                    for column, v in zip(columns, (n, len(became) - len(torn), bool(torn) or any(x != y for x, y in became.items()))):
+                        column.append(v)
+            held = [batch.column(c).take(pa.array(kept, pa.int64())) for c in range(places)]
+            yield pa.RecordBatch.from_arrays([*held, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_())],
+                                             names=schema.names)
+
+    return matched.mapInArrow(judge, schema)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", rule: Rule = Rule()) -> DataFrame:
     """(key, item, n_windows, n_slots, reparameterised): the documents that hold a benchmark item.
 
@@ -223,16 +249,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     joined = found.join(items.select(item, "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")), "hash")
     joined = joined.where(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("place") - F.col("item_place"))
     group = [key, item, "shift"]
-    matched = joined.groupBy(*group).agg(F.countDistinct("item_place").alias("n_windows"))
-    slots = joined.select(*group, F.explode(F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y"))).alias("s"))
-    slots = slots.select(*group, F.col("s.x").alias("x"), F.col("s.y").alias("y")).groupBy(*group, "x").agg(
-        F.min("y").alias("low"), F.max("y").alias("high"))
-    slots = slots.groupBy(*group).agg(F.count(F.lit(1)).alias("n_slots"), F.max(F.col("low") != F.col("high")).alias("torn"),
-                                      F.max(F.col("low") != F.col("x")).alias("changed"))
-    on = [F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group]
-    both = matched.alias("m").join(slots.alias("s"), on, "left").select("m.*", "n_slots", "torn", "changed")
-    fits = both.where(~F.coalesce("torn", F.lit(False))).join(sizes, item)
-    fits = fits.where(F.col("n_windows") >= F.least(F.lit(rule.enough), F.col("item_windows")))
-    best = fits.groupBy(key, item).agg(F.max(F.struct("n_windows", (-F.abs("shift")).alias("near"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
-                                                      F.coalesce("changed", F.lit(False)).alias("changed"))).alias("b"))
+    # an alignment has a row for each window of its item at most
+    matched = joined.groupBy(*group).agg(F.countDistinct("item_place").alias("n"), F.collect_set(F.struct("item_place", "item_slots", "slots")).alias("w"))
+    matched = matched.join(sizes, item).where(F.col("n") >= F.least(F.lit(rule.enough), F.col("item_windows")))
+    fits = consistent(matched.select(*group, "item_windows", "w"), rule)
+    best = fits.groupBy(key, item).agg(F.max(F.struct("n_windows", (-F.abs("shift")).alias("near"), "n_slots", "changed")).alias("b"))
     return best.select(key, item, "b.n_windows", F.col("b.n_slots").alias("n_slots"), F.col("b.changed").alias("reparameterised"))

@@ -268,6 +268,18 @@ def test_templates_of_short_and_dense_items(spark):
     assert got == {(1, 1): False, (2, 1): True, (3, 2): True, (4, 3): False, (5, 4): False, (7, 5): False}
 
 
+def test_templates_discount_torn_windows(spark):
+    tail = "and nobody in the quiet valley below the mountain ever heard why the keeper had left the lamp burning all night long"
+    rest = "they share all of them fairly and then walk home along the narrow path behind the old mill before it gets dark"
+    bench = spark.createDataFrame([(1, f"The keeper Maria saw 12 ships {tail} when Maria came down"), (2, f"Tom has 5 apples for 5 friends and {rest}")],
+                                  "item_id long, text string")
+    texts = [(1, f"The keeper Maria saw 12 ships {tail} when Petra came down"), (2, f"Tom has 7 apples for 4 friends and {rest}"),
+             (3, f"The keeper Maria saw 12 ships {tail} when Maria came down"), (4, "Tom has 7 apples for 4 friends and they share all of them fairly")]
+    got = {(r["doc_id"], r["item_id"]): (r["n_slots"], r["reparameterised"]) for r in
+           templates.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1): (1, True), (2, 2): (0, True), (3, 1): (2, False)}
+
+
 @pytest.mark.parametrize("heavy", [gated_lm.HEAVY, 60])
 def test_language_model(spark, docs, plain, heavy, monkeypatch):
     """With all words heavy, and with most of them joined to their counts."""
