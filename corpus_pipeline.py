@@ -17,7 +17,7 @@ from panelspark.llm.common import documents, stored
 
 def _row_numbered(docs: DataFrame) -> DataFrame:
     """The rows under a name of their own, which a repeated or missing id is not; fixed by storing them."""
-    return stored(docs.withColumn("_row", F.expr("uuid()")), "numbered")
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -36,22 +36,23 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id; texts without words and rows
-    without an id are in no group and stay. Of rows that repeat an id the least text stays."""
-    groups = jaccard.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_anti")
-    named = kept.where(F.col("doc_id").isNotNull())
-    twice = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    least = named.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("r")).select("r.*")
-    return named.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(least).unionByName(
-        kept.where(F.col("doc_id").isNull()))
+    """One row of each group of near copies, the one with the least id (a missing one last); of rows equal in
+    that, by a hash of the text, then by row. Texts without words are in no group and stay."""
+    rows = _row_numbered(docs)
+    groups = jaccard.jaccard_components(rows, "_row").where("n_shingles > 0").select("_row", "component_id")
+    several = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "_row")
+    members = stored(groups.join(several, "component_id", "left_semi").join(rows.select("_row", rank.alias("rank")), "_row"), "members")
+    first = members.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank._row")
+    bad = members.select("_row").join(first, "_row", "left_anti")
+    return rows.join(bad, "_row", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that hold no benchmark item. Rows without an id share one verdict."""
-    found = templates.contaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet")).select(F.col("doc_id").alias("leak")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti").select(docs.columns)
+    """Documents that hold no benchmark item; each row has a verdict of its own."""
+    rows = _row_numbered(docs)
+    found = templates.contaminated(rows, spark.read.parquet(f"{folder}/benchmark.parquet"), "_row").select("_row").distinct()
+    return rows.join(found, "_row", "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,8 +163,10 @@ def worker_canonical() -> Canonical:
 
 
 def windows(rows: DataFrame, key: str, rule: Rule, bits: np.ndarray | None, widths: tuple[int, ...] = ()) -> DataFrame:
-    """(key, tokens, width, hash, place, slots): windows of every text. With ``bits``, those of ``widths`` that
-    may be in the benchmark; without, each text is an item and has the width its length asks for.
+    """(key, row, windows, width, hash, place, slots): windows of every text. With ``bits``, those of ``widths``
+    that may be in the benchmark; without, each text is an item and has the width its length asks for.
+    ``row`` numbers the texts, as a key may be missing or repeated, and is fixed by storing the windows;
+    ``windows`` is how many of its width the text has (with ``bits``, of those that may match).
 
     A window below ``rule.window`` is a whole item, so a document needs it only where it first stands.
     """
@@ -174,9 +177,11 @@ def windows(rows: DataFrame, key: str, rule: Rule, bits: np.ndarray | None, widt
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from panelspark.llm.templates import worker_canonical
         canonical, mask = worker_canonical(), shared.value
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for k, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                row += 1
                 t = canonical.tokens(value.as_py())
                 for width in widths if mask is not None else (item_width(t, rule),):
                     h, at, second = window_hashes(t, rule, width)
@@ -186,6 +191,7 @@ def windows(rows: DataFrame, key: str, rule: Rule, bits: np.ndarray | None, widt
                         h, at, second = h[hit], at[hit], second[hit]
                     elif len(h):  # an item's first word opens it
                         h, at, second = h[~second], at[~second], second[~second]
+                    n = len(h)
                     once: set | None = set() if abs(width) < rule.window else None
                     for x, p, o in zip(h.view(np.int64).tolist(), at.tolist(), second.tolist()):
                         slot = np.flatnonzero(t.kind[p + o:max(p + width, p)] != LITERAL) + o
@@ -194,13 +200,14 @@ def windows(rows: DataFrame, key: str, rule: Rule, bits: np.ndarray | None, widt
                             if (x, *slots) in once:
                                 continue
                             once.add((x, *slots))
-                        for column, v in zip(out, (k, len(t.code), width, x, p, slots)):
+                        for column, v in zip(out, (k, row, n, width, x, p, slots)):
                             column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], types[kind_of_key]), *(pa.array(c, pa.int64()) for c in out[1:5]),
-                                              pa.array(out[5], pa.list_(pa.int64()))], names=[key, "tokens", "width", "hash", "place", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], types[kind_of_key]), *(pa.array(c, pa.int64()) for c in out[1:6]),
+                                              pa.array(out[6], pa.list_(pa.int64()))],
+                                             names=[key, "row", "windows", "width", "hash", "place", "slots"])
 
     return rows.select(key, text_bytes().alias("_text")).mapInArrow(
-        cut, f"`{key}` {kind_of_key}, tokens long, width long, hash long, place long, slots array<long>")
+        cut, f"`{key}` {kind_of_key}, row long, windows long, width long, hash long, place long, slots array<long>")
 
 
 def consistent(matched: DataFrame, rule: Rule) -> DataFrame:
@@ -217,7 +224,7 @@ def consistent(matched: DataFrame, rule: Rule) -> DataFrame:
                 torn: set[int] = set()
                 for w in pairs:
                     torn.update(x for x, y in zip(w["item_slots"], w["slots"]) if became.setdefault(x, y) != y)
-                n = len({w["item_place"] for w in pairs if torn.isdisjoint(w["item_slots"])})
+                n = sum(torn.isdisjoint(w["item_slots"]) for w in pairs)
                 if n >= min(rule.enough, size):
                     kept.append(i)
                     for column, v in zip(columns, (n, len(became) - len(torn), bool(torn) or any(x != y for x, y in became.items()))):
@@ -233,8 +240,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     """(key, item, n_windows, n_slots, reparameterised): the documents that hold a benchmark item.
 
     One row per document and item, for the alignment with the most windows; ``n_slots`` is 0 where
-    windows were compared word by word. Documents without words, items without words and missing texts match nothing. Rows that share a key count as one
-    document, also those without a key. A bitmap of 2^24 bits over the benchmark's window hashes, of
+    windows were compared word by word. Documents without words, items without words and missing
+    texts match nothing. Each row is looked at by itself; of rows that share a key, or have none, the
+    one with the most windows is stated. A bitmap of 2^24 bits over the benchmark's window hashes, of
     fixed size whatever the benchmark, keeps most windows from the shuffle; the hash join decides.
     """
     items = stored(windows(benchmark, item, rule, None), "benchmark-windows")
@@ -245,13 +253,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
         bits[r["w"]] = r["bits"] & 0xFFFFFFFF
     widths = tuple(r["width"] for r in items.select("width").distinct().collect())  # 2 * rule.window at most
     found = stored(windows(docs, key, rule, bits.view(np.uint8), widths), "document-windows")
-    sizes = items.groupBy(item).agg(F.count(F.lit(1)).alias("item_windows"))
-    joined = found.join(items.select(item, "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots")), "hash")
+    held = items.select(F.col(item).alias("_item"), F.col("row").alias("item_row"), F.col("windows").alias("item_windows"), "hash",
+                        F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    joined = found.drop("windows", "width").join(held, "hash")
     joined = joined.where(F.size("slots") == F.size("item_slots")).withColumn("shift", F.col("place") - F.col("item_place"))
-    group = [key, item, "shift"]
     # an alignment has a row for each window of its item at most
-    matched = joined.groupBy(*group).agg(F.countDistinct("item_place").alias("n"), F.collect_set(F.struct("item_place", "item_slots", "slots")).alias("w"))
-    matched = matched.join(sizes, item).where(F.col("n") >= F.least(F.lit(rule.enough), F.col("item_windows")))
-    fits = consistent(matched.select(*group, "item_windows", "w"), rule)
+    matched = joined.groupBy("row", "item_row", "shift").agg(
+        F.first(key).alias(key), F.first("_item").alias(item), F.first("item_windows").alias("item_windows"),
+        F.collect_list(F.struct("item_slots", "slots")).alias("w"))
+    matched = matched.where(F.size("w") >= F.least(F.lit(rule.enough), F.col("item_windows")))
+    fits = consistent(matched.select(key, item, "shift", "item_windows", "w"), rule)
     best = fits.groupBy(key, item).agg(F.max(F.struct("n_windows", (-F.abs("shift")).alias("near"), "n_slots", "changed")).alias("b"))
     return best.select(key, item, "b.n_windows", F.col("b.n_slots").alias("n_slots"), F.col("b.changed").alias("reparameterised"))

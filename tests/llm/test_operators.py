@@ -280,6 +280,17 @@ def test_templates_discount_torn_windows(spark):
     assert got == {(1, 1): (1, True), (2, 2): (0, True), (3, 1): (2, False)}
 
 
+def test_templates_look_at_each_row(spark):
+    """Rows without an id or with the same one: parts of an item in several texts are no copy, and two copies are not torn."""
+    item = "Every keeper of the old lamp counts 12 ships before the morning fog comes in"
+    words = item.split()
+    bench = spark.createDataFrame([(1, item), (None, "this item of the benchmark has no number of its own but is one")], "item_id long, text string")
+    texts = [(None, " ".join(words[:9]) + " and"), (None, "x x x x " + " ".join(words[4:13])), (7, item), (7, item.replace("12", "40")),
+             (8, "it says this item of the benchmark has no number of its own but is one")]
+    got = {(r["doc_id"], r["item_id"]) for r in templates.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
+    assert got == {(7, 1), (8, None)}
+
+
 @pytest.mark.parametrize("heavy", [gated_lm.HEAVY, 60])
 def test_language_model(spark, docs, plain, heavy, monkeypatch):
     """With all words heavy, and with most of them joined to their counts."""

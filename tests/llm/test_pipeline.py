@@ -23,3 +23,17 @@ def test_stages(spark):
     groups = pipeline.jaccard.jaccard_components(docs).where("n_shingles > 0 and doc_id is not null")
     assert groups.count() == groups.select("component_id").distinct().count()
     assert pipeline.encode(spark, docs, FOLDER).count() == sizes[-1]
+
+
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    """Missing and repeated ids: only the leaking row goes, different texts of one id stay, copies do not."""
+    item = "Every keeper of the old lamp counts 12 ships before the morning fog comes in"
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in ("north", "south"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, f"they say {item}"), (None, one), (None, one), (5, two), (5, two + " more"), (5, " ".join(reversed(one.split()))), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = sorted(map(tuple, pipeline.decontamination(spark, docs, str(tmp_path)).collect()), key=str)
+    assert clean == sorted(rows[1:], key=str)
+    left = pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "").split(" ")[0]) for r in left) == sorted(
+        [("None", "they"), ("None", "north0"), ("5", "south0"), ("5", "north39"), ("6", "")])
