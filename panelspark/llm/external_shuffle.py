@@ -17,26 +17,44 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import new_path
+from panelspark.llm.common import new_path, stored
 
-MOST_BUCKETS = 1 << 22
+MOST_BUCKETS, STRETCH = 1 << 22, 4096
 
 
 def scatter(docs: DataFrame, key: str, seed: int, bucket_bytes: int) -> tuple[DataFrame, np.ndarray]:
     """Rows with their bucket, and the number of rows of each bucket.
 
     The counts are one number per bucket, at most ``MOST_BUCKETS`` of them: buckets grow beyond
-    ``bucket_bytes`` before there are more. Equal keys are told apart by a hash of the text, so
-    only rows equal in both share a bucket by force.
+    ``bucket_bytes`` before there are more. Equal keys are told apart by a hash of the text. Rows equal
+    in both share a bucket while they fit in one; a larger group is kept as one row and its count and
+    written out again under running numbers, which spread it over all buckets.
     """
     size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long") + 8
-    total = docs.agg(F.sum(size)).first()[0] or 0
+    mark = F.xxhash64("text")
+    groups = stored(docs.groupBy(F.col(key), mark.alias("_mark")).agg(F.sum(size).alias("_bytes"), F.count(F.lit(1)).alias("_n")), "groups")
+    total = groups.agg(F.sum("_bytes")).first()[0] or 0
     n = int(min(MOST_BUCKETS, max(1, -(-total // bucket_bytes))))
-    spot = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n)).cast("int")
-    rows = docs.select(F.col(key), "text", size.alias("size"), spot.alias("_bucket"))
+    large = (F.col("_n") > 1) & (F.col("_bytes") > max(bucket_bytes, total // n))  # true of fewer than n groups
+
+    def spot(*more):
+        return F.pmod(F.xxhash64(F.lit(seed), F.col(key), *more), F.lit(n)).cast("int")
+
+    rows = docs.select(F.col(key), "text", size.alias("size"), spot(mark).alias("_bucket"))
+    dealt = groups.where(~large).select(spot(F.col("_mark")).alias("b"), "_n")
+    many = groups.where(large).select(F.col(key).alias("_key"), F.col("_mark").alias("_large"))
+    if not many.isEmpty():
+        same, many = F.col(key).eqNullSafe(F.col("_key")) & (mark == F.col("_large")), F.broadcast(many)
+        one = stored(docs.join(many, same, "left_semi").groupBy(F.col(key), "text").agg(F.count(F.lit(1)).alias("_n")), "copies")
+        cut = one.withColumn("_at", F.explode(F.expr(f"sequence(0L, (_n - 1) div {STRETCH})"))).repartition(F.col(key), mark, F.col("_at"))
+        copies = cut.withColumn("_i", F.explode(F.expr(f"sequence(_at * {STRETCH}, least(_n, (_at + 1) * {STRETCH}) - 1)")))
+        copies = copies.withColumn("_bucket", spot(mark, F.col("_i")))
+        rows = docs.join(many, same, "left_anti").select(F.col(key), "text", size.alias("size"), spot(mark).alias("_bucket")).unionByName(
+            copies.select(F.col(key), "text", size.alias("size"), "_bucket"))
+        dealt = dealt.unionByName(copies.select(F.col("_bucket").alias("b"), F.lit(1).cast("long").alias("_n")))
     counts = np.zeros(n, dtype=np.int64)
-    for r in docs.select(spot.alias("b")).groupBy("b").count().collect():
-        counts[r["b"]] = r["count"]
+    for r in dealt.groupBy("b").agg(F.sum("_n").alias("n")).collect():
+        counts[r["b"]] = r["n"]
     return rows, counts
 
 

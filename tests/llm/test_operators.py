@@ -192,6 +192,18 @@ def test_shuffle(docs, plain):
     assert sorted(map(key, got), key=str) == sorted(map(key, again.collect()), key=str)
 
 
+def test_shuffle_bounds_its_buckets(spark):
+    """Rows of one key, of none, and equal rows are spread over the buckets."""
+    rows = [(None, f"text {i} " * 5) for i in range(3000)] + [(7, f"other {i} " * 5) for i in range(3000)] + [(8, "same again " * 5)] * 6000 + [(None, None)] * 6000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt, counts = external_shuffle.scatter(docs, "doc_id", 1, 20_000)
+    held = {r["_bucket"]: (r["n"], r["b"]) for r in dealt.groupBy("_bucket").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
+    assert all(counts[b] == n for b, (n, _) in held.items()) and counts.sum() == len(rows)
+    assert max(b for _, b in held.values()) < 2 * 20_000
+    got = external_shuffle.external_shuffle(docs, shards=5, bucket_bytes=20_000)[1].collect()
+    assert counted((r["doc_id"], r["text"]) for r in got) == counted(rows)
+
+
 def test_language(spark):
     rng = np.random.default_rng(2)
     stems = {"en": "th er ing and on", "de": "ch sch ung ein ß", "fr": "eau eux que è la", "es": "ción ñ ar los que"}
