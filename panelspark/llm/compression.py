@@ -74,14 +74,19 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def compression_verdict(text: bytes, press: zstandard.ZstdCompressor, bands: Bands) -> tuple[float, float, bool]:
-    """(ratio, share of chunks outside their limits, kept). An empty text has ratio 0 and is not kept."""
+    """(ratio, share of chunks outside their limits, kept). An empty text has ratio 0 and is not kept.
+
+    The last chunk ends with the text and may overlap the one before. A text below one chunk has none:
+    its whole ratio is held against the limits of its length.
+    """
     if not text:
         return 0.0, 0.0, False
     ratio = len(press.compress(text)) / len(text)
     low, high = bands.of(len(text))
     off = n = 0
-    if len(text) >= 2 * bands.chunk_bytes:
-        for at in range(0, len(text) - bands.chunk_bytes + 1, bands.chunk_bytes):
+    if len(text) >= bands.chunk_bytes:
+        last = len(text) - bands.chunk_bytes
+        for at in (*range(0, last, bands.chunk_bytes), last):
             r = len(press.compress(text[at:at + bands.chunk_bytes])) / bands.chunk_bytes
             off += not bands.chunk_least <= r <= bands.chunk_most
             n += 1

@@ -99,6 +99,17 @@ def test_bands_reject_both_ends():
     assert not compression.compression_verdict(noise, press, bands)[2]
 
 
+def test_every_byte_is_in_a_chunk():
+    press, bands, rng = zstandard.ZstdCompressor(level=3), compression.Bands(), np.random.default_rng(0)
+    syllables = ["".join(rng.choice(list("bcdfglmnprst")) + rng.choice(list("aeiou")) for _ in range(2)) for _ in range(300)]
+    prose = " ".join("".join(rng.choice(syllables, rng.integers(1, 3))) for _ in range(1000)).encode()
+    noise = b" ".join(bytes(rng.integers(33, 127, 7).astype(np.uint8)) for _ in range(257))
+    for text, share in ((prose[:1900] + noise[:2052], 0.5), (prose[:2200] + noise[:1896], 0.5), (prose[:3952], 0.0), (prose[:2048], 0.0), (prose[:1000], 0.0)):
+        ratio, got, kept = compression.compression_verdict(text, press, bands)
+        low, high = bands.of(len(text))
+        assert low <= ratio <= high and (got, kept) == (share, share == 0), (len(text), ratio, got)
+
+
 def test_bpe(docs, plain):
     import tiktoken
     ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
