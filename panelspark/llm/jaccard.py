@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import ship, stored, text_bytes
 from panelspark.llm.components import components
 
-WIDTH, LEADERS, HOT_BITS, HOT_SHARE = 5, 8, 20, 1 << 14
+WIDTH, LEADERS, HOT_BITS, HOT_SHARE, BLOCK = 5, 8, 20, 1 << 14, 4096
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31, _S32 = (np.uint64(x) for x in (30, 27, 31, 32))
 
@@ -301,34 +301,55 @@ def first_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, found.where("open").select("key", F.col("a").alias("node"), "probe")
 
 
+def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """(place, asks, node, component, n, sketch) of ``rows`` with their bucket's size: each row stands in one
+    block of about ``block`` rows of its bucket, and a row that probes also asks in every block."""
+    columns = ["node", "component", "n", "sketch"]
+    blocks = F.expr(f"(size + {block} - 1) div {block}")
+    held = rows.select("key", F.pmod(F.xxhash64("node"), blocks).alias("block"), F.lit(False).alias("asks"), *columns)
+    asking = rows.where("probe").select("key", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(True).alias("asks"), *columns)
+    # two blocks of one hash only compare more
+    return held.unionByName(asking).select(F.xxhash64("key", "block").alias("place"), "asks", *columns)
+
+
 def second_pairs(open_rows: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of one bucket that are in different components: all whose sizes and sketches allow a link."""
+    """Pairs of one bucket that are in different components: all whose sizes and sketches allow a link.
+
+    A task holds one block of a bucket while the bucket's probing rows pass by; rows that do not probe
+    are not compared with each other.
+    """
     rows = open_rows.join(parts, "node", "left").select("key", "node", "probe", F.coalesce("component", "node").alias("component"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"),
-                                    F.max("probe").alias("p")).where("x <> y and p").select("key")
-    rows = rows.join(mixed, "key", "left_semi").join(texts.select("node", "n", "sketch"), "node")
+    mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("probe").alias("p"),
+                                    F.count(F.lit(1)).alias("size")).where("x <> y and p").select("key", "size")
+    rows = rows.join(mixed, "key").join(texts.select("node", "n", "sketch"), "node")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: list[tuple] = []
-        for goes_on, _, (_, node, probe, part, n, bits) in _runs(batches, ["node", "probe", "component", "n", "sketch"]):
+        held: list[tuple] = []
+        for goes_on, _, (_, asks, node, part, n, bits) in _runs(batches, ["asks", "node", "component", "n", "sketch"]):
             if not goes_on:
-                before = []
-            probe, bits = probe.astype(bool), np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(-1, 8)
+                held = []
+            asks, bits = asks.astype(bool), np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(-1, 8)
+            stands = int(np.count_nonzero(~asks))  # these come first
+            if stands:
+                held.append((node[:stands], part[:stands], n[:stands], bits[:stands]))
+            if stands == len(node) or not held:
+                continue
+            if len(held) > 1:
+                held = [tuple(np.concatenate(c) for c in zip(*held))]
+            o, c, m, b = held[0]
             found: list[np.ndarray] = []
-            for i in range(len(node)):
-                for o, p, c, m, b in (*before, (node[:i], probe[:i], part[:i], n[:i], bits[:i])):
-                    near = np.flatnonzero((c != part[i]) & (p | probe[i]) & (100 * np.minimum(m, n[i]) >= 80 * np.maximum(m, n[i])))
-                    if len(near):
-                        apart = np.bitwise_count(b[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                        near = near[9 * apart <= m[near] + n[i]]
-                        found.append(np.stack([np.minimum(o[near], node[i]), np.maximum(o[near], node[i])]))
-            before.append((node, probe, part, n, bits))
+            for i in range(stands, len(node)):
+                near = np.flatnonzero((c != part[i]) & (100 * np.minimum(m, n[i]) >= 80 * np.maximum(m, n[i])))
+                if len(near):
+                    apart = np.bitwise_count(b[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                    near = near[9 * apart <= m[near] + n[i]]
+                    found.append(np.stack([np.minimum(o[near], node[i]), np.maximum(o[near], node[i])]))
             if found:
                 both = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
-    placed = rows.repartition(F.col("key")).sortWithinPartitions("key", "node").select("key", "node", "probe", "component", "n", "sketch")
-    return placed.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
+    placed = in_blocks(rows, BLOCK).repartition(F.col("place")).sortWithinPartitions("place", "asks", "node")
+    return placed.select("place", "asks", "node", "component", "n", "sketch").mapInArrow(meet, "a long, b long").where("a <> b").distinct()
 
 
 def texts_of(docs: DataFrame, key: str, sets: DataFrame, nodes: DataFrame) -> DataFrame:

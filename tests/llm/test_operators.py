@@ -186,6 +186,21 @@ def test_signatures_meet(size):
         assert set(keys[probes].tolist()) & set(index.tolist())
 
 
+def test_open_buckets_are_cut_into_blocks(spark, monkeypatch):
+    """All pairs with a probing row are found, whatever the blocks, and no block holds a large part of the bucket."""
+    monkeypatch.setattr(jaccard, "BLOCK", 40)
+    rng = np.random.default_rng(6)
+    rows = [(1, i, bool(rng.random() < 0.1), int(rng.integers(5)), int(rng.integers(20, 40)), bytes(64)) for i in range(600)]
+    rows += [(2, 700, False, 1, 20, bytes(64)), (2, 701, True, 2, 20, bytes(64))]
+    table = spark.createDataFrame(rows, "key long, node long, probe boolean, component long, n long, sketch binary").repartition(3)
+    got = jaccard.second_pairs(table.select("key", "node", "probe"), table.select("node", "component"), table.select("node", "n", "sketch"))
+    want = {(a[1], b[1]) for i, a in enumerate(rows) for b in rows[i + 1:] if a[0] == b[0] and (a[2] or b[2]) and a[3] != b[3]
+            and 100 * min(a[4], b[4]) >= 80 * max(a[4], b[4])}
+    assert counted(got.collect()) == Counter(want)
+    held = jaccard.in_blocks(table.where("key = 1").withColumn("size", F.lit(600)), 40).where("not asks").groupBy("place").count().collect()
+    assert len(held) == 15 and max(r["count"] for r in held) < 80
+
+
 def test_shuffle(docs, plain):
     path, rows = external_shuffle.external_shuffle(docs, shards=5, bucket_bytes=20_000)
     got = rows.collect()
