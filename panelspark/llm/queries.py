@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, compression, external_shuffle, gated_lm, jaccard, language, string_kernel, templates, token_blocks, token_counts
+from panelspark.llm import (bpe, byte_network, centroids, compression, external_shuffle, filter_audit, gated_lm, jaccard, language,
+                            string_kernel, templates, token_blocks, token_counts)
 from panelspark.llm.common import bounded_sample, documents, held_out
+from panelspark.llm.oracles import ORACLE_SQL
 
 
 def op1_rans_token_blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +76,36 @@ def op10_gated_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def quality_sample(spark: SparkSession, folder: str, docs: DataFrame, per_class: int = 1000) -> DataFrame:
+    """(text, label) of rows whose quality label may be learned from: ``per_class`` ids of each label.
+
+    Only ids with a document are drawn; an id with several labels counts as bad, one with several texts
+    gives the first by hash. The ids are a bounded table, so no text moves before it is chosen.
+    """
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where(F.col("quality").isNotNull() & ~held_out(4, 2))
+    labels = labels.groupBy("doc_id").agg(F.min("quality").alias("label"))
+    present = labels.join(docs.select("doc_id"), "doc_id", "left_semi")
+    drawn = bounded_sample(present, "label", per_class).select("doc_id", "label")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "label")
+
+
+def op11_byte_network_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    net = byte_network.fit(quality_sample(spark, folder, docs))
+    scored = byte_network.score_quality(docs, net)
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    rows, fails = filter_audit.failing_relations(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+    return filter_audit.audit(rows, fails)
+
+
+def op13_orchard_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (op1_rans_token_blocks, op2_compression_bands, op3_string_kernel_toxicity, op4_external_shuffle,
                                    op5_language_families, op6_template_decontamination, op7_two_tier_bpe, op8_token_counts, op9_jaccard_join,
-                                   op10_gated_language_model)}
-ORACLE_SQL: dict[str, str] = {}
+                                   op10_gated_language_model, op11_byte_network_quality, op12_filter_audit, op13_orchard_clusters)}
