@@ -465,7 +465,7 @@ SQL["truncation_causality"] = " UNION ALL ".join(
 CTE["numbered"] = """SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n
  FROM (SELECT DISTINCT date FROM adjusted)"""
 CTE["cuts"] = """SELECT date AS cut FROM numbered
- WHERE i IN (SELECT DISTINCT floor(60 + k * ((n - 120) / 4::DOUBLE)) FROM numbered, range(5) t(k))"""
+ WHERE i IN (SELECT DISTINCT floor(60 + k * ((n - 120) / 39::DOUBLE)) FROM numbered, range(40) t(k))"""
 _KEY2 = "cut, symbol"
 CTE["versions"] = """SELECT a.*, cut FROM adjusted a JOIN cuts ON a.date <= cut"""
 CTE["cutranks"] = "SELECT symbol, date, " + ", ".join(f"{_xs(s)} AS {s}" for s in params.XS_SOURCES) + f""" FROM (
@@ -476,7 +476,9 @@ SQL["rank_truncation"] = "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT a.date, 'XS_{s}' AS feature, count(*) FILTER (WHERE a.{s} IS NOT NULL AND b.{s} IS NOT NULL) AS names, "
     f"count(*) FILTER (WHERE (a.{s} IS NULL) <> (b.{s} IS NULL) OR abs(a.{s} - b.{s}) > 1e-9) AS bad "
     f"FROM fullranks a JOIN cutranks b ON a.symbol = b.symbol AND a.date = b.date GROUP BY a.date"
-    for s in params.XS_SOURCES) + ") WHERE names >= 2"
+    for s in params.XS_SOURCES) + ") WHERE names >= 20"
+SQL["independent_sessions"] = """SELECT DISTINCT symbol, (SELECT min(s.date) FROM sess s WHERE s.symbol = n.symbol AND s.date > n.date) AS date
+ FROM (SELECT DISTINCT symbol, date FROM news) n WHERE EXISTS (SELECT 1 FROM sess s WHERE s.symbol = n.symbol AND s.date > n.date)"""
 
 _GF = cat.GATE_FEATURES
 CTE["gateraw"] = "SELECT *, " + _SPLIT + " AS split FROM (" + _select(
@@ -716,9 +718,92 @@ SQL["pbo"] = """SELECT model, count(*) AS n_splits, round(avg(CAST(ln(s / (1 - s
 SQL["score_errors"] = """SELECT model, arm, round(avg(pow(score - y, 2)), 6) AS mse, round(avg(abs(score - y)), 6) AS mae,
  count(*) AS n FROM cells GROUP BY model, arm"""
 
+CTE["fwd520"] = _select({k: v for k, v in _FWDS.items() if k in ("fwd_ret_5", "fwd_ret_20")}, "withr1", None)
+
+# ---- resampling and power ---------------------------------------------------------------
+
+CTE["horizongross"] = """SELECT horizon, date, avg(y) AS gross FROM (SELECT *, row_number() OVER (PARTITION BY horizon, date
+ ORDER BY score DESC, symbol) AS p, greatest(1, ceil(0.1::DOUBLE * count(*) OVER (PARTITION BY horizon, date))) AS k FROM (
+  SELECT e.symbol, e.date, e.MOM_20 AS score, h AS horizon, CASE h WHEN 5 THEN f.fwd_ret_5 ELSE f.fwd_ret_20 END AS y
+  FROM elig e JOIN fwd520 f ON e.symbol = f.symbol AND e.date = f.date, (VALUES (5), (20)) AS v(h)) WHERE y IS NOT NULL)
+ WHERE p <= k GROUP BY horizon, date"""
+
+
+def _bootstrap(source: str, key: str, date: str, value: str, mean: str, spacing: str, replicates: int = 1000) -> str:
+    """Blocks laid out value by value: every replicate is written out in full, in the order of its draws."""
+    def bits(part: int) -> str:
+        return f"('0x' || substr(md5(concat_ws(':', 'bootstrap', replicate, draw)), {1 + 13 * part}, 13))::BIGINT"
+    return f"""SELECT {key}, count(*) AS replicates, max(n) AS n, {', '.join(
+        f"round(quantile_cont({c}, 0.025), 6) AS {c}_low, round(quantile_cont({c}, 0.975), 6) AS {c}_high, round(stddev_samp({c}), 6) AS {c}_se"
+        for c in ('mean', 'sharpe'))} FROM (
+ SELECT b.{key}, replicate, any_value(b.n) AS n, avg(x) AS mean, avg(x) / (stddev_samp(x) + 1e-12) * sqrt(252.0::DOUBLE / {spacing}) AS sharpe FROM (
+  SELECT {key}, replicate, n, unnest(range(least(len, n - before)::BIGINT)) + start AS place FROM (
+   SELECT *, coalesce(sum(len) OVER (PARTITION BY {key}, replicate ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+    SELECT {key}, n, replicate, draw, {bits(0)} % n AS start,
+     least(n, 1 + floor(ln(({bits(1)} + 1) / pow(2::DOUBLE, 52)) / ln(1 - 1 / {mean}::DOUBLE)))::BIGINT AS len FROM (
+     SELECT {key}, n, replicate, unnest(range(n)) AS draw FROM (SELECT {key}, count(*) AS n FROM {source} GROUP BY {key}), range({replicates}) r(replicate))))
+   WHERE before < n) b
+ JOIN (SELECT {key}, {value} AS x, row_number() OVER (PARTITION BY {key} ORDER BY {date}) - 1 AS i FROM {source}) s ON s.{key} = b.{key} AND s.i = b.place % b.n
+ GROUP BY b.{key}, replicate) GROUP BY {key}"""
+
+
+SQL["bootstrap_difference"] = _bootstrap("armdiff", "model", "date_id", "d", "4.0", "5")
+SQL["bootstrap_horizons"] = _bootstrap("horizongross", "horizon", "date", "gross", "horizon", "b.horizon")
+_Z = NormalDist().inv_cdf(0.975) + NormalDist().inv_cdf(0.8)
+CTE["hcentred"] = """SELECT horizon, gross, gross - avg(gross) OVER (PARTITION BY horizon) AS e,
+ row_number() OVER (PARTITION BY horizon ORDER BY date) AS i FROM horizongross"""
+CTE["heff"] = """SELECT horizon, n, mean, sd, n / greatest(1, 1 + 2 * w / v) AS n_eff FROM
+ (SELECT horizon, count(*) AS n, avg(gross) AS mean, stddev_samp(gross) AS sd, sum(e * e) AS v FROM hcentred GROUP BY horizon)
+ JOIN (SELECT a.horizon, sum((1 - (a.i - b.i) / a.horizon::DOUBLE) * a.e * b.e) AS w FROM hcentred a JOIN hcentred b
+  ON a.horizon = b.horizon AND a.i - b.i BETWEEN 1 AND a.horizon - 1 GROUP BY a.horizon) USING (horizon)"""
+SQL["detectable_effect"] = f"""SELECT horizon, n, {_r(['mean', 'sd', 'n_eff'])}, n // horizon AS n_floor,
+ round(mean / (sd + 1e-12) * sqrt(252.0::DOUBLE / horizon), 6) AS sharpe, {', '.join(
+    f"round({_Z!r}::DOUBLE * sqrt((1 + pow(mean / (sd + 1e-12), 2) / 2) / {n}) * sqrt(252.0::DOUBLE / horizon), 6) AS {a}"
+    for n, a in (('(n // horizon)', 'mde_floor'), ('n_eff', 'mde_eff')))} FROM heff"""
+
+# ---- normal probability and the verdict -------------------------------------------------
+
+
+def _cdf(z: str) -> str:
+    """Normal probability by the power series about zero; 12 deviations out it is 0 or 1 to more digits than are compared."""
+    terms = f"[exp((2 * k + 1) * ln(abs({z})) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())) FOR k IN range(300)]"
+    return f"""CASE WHEN {z} = 0 THEN 0.5 WHEN abs({z}) > 8 THEN CAST({z} > 0 AS DOUBLE)
+ ELSE 0.5 + sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum({terms}) END"""
+
+
+SQL["deflated_sharpe_probability"] = f"""SELECT model, round(z, 6) AS z, round(dsr, 6) AS dsr, round(1 - dsr, 6) AS p FROM (
+ SELECT model, z, {_cdf('z')} AS dsr FROM dsr)"""
+CTE["armgaps"] = """SELECT a.model, b.arm AS other, a.date_id, a.net - b.net AS d FROM armnet a JOIN armnet b
+ ON a.model = b.model AND a.date_id = b.date_id AND a.arm = 'risk' AND b.arm <> 'risk'"""
+CTE["gapdsr"] = f"""SELECT model, other, sr, {_cdf('z')} AS dsr FROM (
+ SELECT *, (sr - sqrt(1.0::DOUBLE / (n - 1)) * {_HURDLE!r}) * sqrt(n - 1) / sqrt(greatest(1 - g3 * sr + (g4 - 1) / 4 * sr * sr, 1e-9)) AS z FROM (
+  SELECT model, other, count(*) AS n, avg(m) / (stddev_samp(d) + 1e-12) AS sr,
+   avg(pow(d - m, 3)) / (pow(stddev_pop(d), 3) + 1e-12) AS g3, avg(pow(d - m, 4)) / (pow(stddev_pop(d), 4) + 1e-12) AS g4
+  FROM (SELECT *, avg(d) OVER (PARTITION BY model, other) AS m FROM armgaps) GROUP BY model, other))"""
+CTE["pairedic"] = f"""SELECT model, {_spearman('ra', 'ry')} - {_spearman('rb', 'ry')} AS gain FROM (
+ SELECT model, {_average_rank('s_risk', 'model')} AS ra, {_average_rank('s_mse', 'model')} AS rb, {_average_rank('y', 'model')} AS ry
+ FROM paired) GROUP BY model HAVING count(*) >= 50"""
+CTE["pbofull"] = SQL["pbo"]
+CTE["contrast"] = f"""SELECT s.model, sharpe_risk, sharpe_mse, sharpe_ridge, m.sr * {_ANN!r} AS dSharpe_vs_mse, m.dsr AS DSR_vs_mse,
+ 1 - m.dsr AS p_vs_mse, r.sr * {_ANN!r} AS dSharpe_vs_ridge, r.dsr AS DSR_vs_ridge, 1 - r.dsr AS p_vs_ridge, gain AS dRankIC_vs_mse, pbo AS PBO FROM
+ (SELECT model, {', '.join(f"avg(net) FILTER (WHERE arm = '{a}') / (stddev_samp(net) FILTER (WHERE arm = '{a}') + 1e-12) * {_ANN!r} AS sharpe_{a}"
+                           for a in fx.ARMS)} FROM armnet GROUP BY model) s
+ JOIN gapdsr m ON m.model = s.model AND m.other = 'mse' JOIN gapdsr r ON r.model = s.model AND r.other = 'ridge'
+ JOIN pairedic i ON i.model = s.model LEFT JOIN pbofull q ON q.model = s.model"""
+_RULE = params.AcceptRule()
+CTE["judged"] = f"""SELECT *, coalesce(dRankIC_vs_mse >= {_RULE.min_rank_ic_gain} AND PBO <= {_RULE.max_pbo} AND {' AND '.join(
+    f'dSharpe_vs_{o} >= {_RULE.min_sharpe_gain} AND p_vs_{o} < {_RULE.max_p}' for o in ('mse', 'ridge'))}, FALSE) AS H1_ACCEPT FROM contrast"""
+_NUMBERS = [*[f"sharpe_{a}" for a in fx.ARMS], *[f"{c}_vs_{o}" for o in ("mse", "ridge") for c in ("dSharpe", "DSR", "p")], "dRankIC_vs_mse", "PBO"]
+SQL["h1_contrast"] = f"SELECT model, {_r(_NUMBERS)}, H1_ACCEPT FROM judged"
+SQL["h1_verdict"] = "SELECT coalesce(bool_or(H1_ACCEPT), FALSE) AS any_accept, count(*) AS sets FROM judged"
+CTE["tests"] = " UNION ALL ".join(f"SELECT model, '{o}' AS against, p_vs_{o} AS p FROM contrast" for o in ("mse", "ridge"))
+SQL["false_discovery"] = """SELECT model, against, round(p, 6) AS p, bh_rank, round(p_adjusted, 6) AS p_adjusted, p_adjusted <= 0.05 AS rejected FROM (
+ SELECT a.model, a.against, a.p, (SELECT count(*) FROM tests t WHERE t.p < a.p OR (t.p = a.p AND (t.model, t.against) <= (a.model, a.against))) AS bh_rank,
+  least(1, (SELECT min(b.p * (SELECT count(*) FROM tests) / (SELECT count(*) FROM tests c WHERE c.p <= b.p)) FROM tests b WHERE b.p >= a.p)) AS p_adjusted
+ FROM tests a)"""
+
 # ---- information coefficients -------------------------------------------------------
 
-CTE["fwd520"] = _select({k: v for k, v in _FWDS.items() if k in ("fwd_ret_5", "fwd_ret_20")}, "withr1", None)
 CTE["signal"] = f"""SELECT s, fwd_ret_5, fwd_ret_20 FROM (SELECT symbol, date, avg(sent_signed) AS s FROM news
  WHERE {_between(fx.SPLITS.train)} GROUP BY symbol, date) JOIN fwd520 USING (symbol, date) WHERE fwd_ret_5 IS NOT NULL
  QUALIFY count(*) OVER (PARTITION BY symbol) >= 10"""

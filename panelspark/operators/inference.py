@@ -106,7 +106,7 @@ def deflated_sharpe(returns: DataFrame, value: str, by: Sequence[str] = (), spac
     """Annualised Sharpe of a difference series, its moments, the deflated z and p.
 
     Moments are population moments about the mean with the guard of the defining
-    formula. The normal probability is the only Python call and sees one row per set.
+    formula.
     """
     eps = F.lit(params.EPS)
     base = returns.groupBy(*by).agg(
@@ -303,10 +303,13 @@ def newey_west(returns: DataFrame, value: str, lags: int, by: Sequence[str] = ()
 
 
 def false_discovery(tests: DataFrame, p: str = "p", level: float = 0.05) -> DataFrame:
-    """Benjamini-Hochberg: adds rank, adjusted p and rejection. One row per test comes in."""
+    """Benjamini-Hochberg: adds rank, adjusted p and rejection. One row per test comes in.
+
+    Equal p values are ranked by the other columns; their adjusted values are the same.
+    """
     spec = Window.partitionBy(F.lit(0))
     m = F.count(F.lit(1)).over(spec)
-    ranked = tests.withColumn("bh_rank", F.row_number().over(spec.orderBy(p))).withColumn("_m", m)
+    ranked = tests.withColumn("bh_rank", F.row_number().over(spec.orderBy(p, *[c for c in tests.columns if c != p]))).withColumn("_m", m)
     raw = F.col(p) * F.col("_m") / F.col("bh_rank")
     adjusted = F.min(raw).over(spec.orderBy(F.col("bh_rank").desc()).rowsBetween(Window.unboundedPreceding, 0))
     out = ranked.withColumn("p_adjusted", F.least(F.lit(1.0), adjusted))

@@ -58,24 +58,29 @@ def truncation(rows: DataFrame, at: float = 0.7, features: Sequence[str] = CAUSA
     return one.select(F.explode(out).alias("r")).select("r.*")
 
 
-def rank_truncation(rows: DataFrame, cuts: int = 5, skip: int = 60, min_names: int = 20,
+def rank_truncation(rows: DataFrame, cuts: int = 40, skip: int = 60, min_names: int = 20, reach: int = 21,
                     sources: Sequence[str] = ("RET_20", "MOM_20", "MA_20"),
                     tolerance: float = 1e-9) -> DataFrame:
     """Cross-sectional ranks at sampled dates, with and without the rows after the date.
 
-    Each sampled date adds one truncated scenario of the rows up to it; the sampled
-    dates are a handful, so the rows grow by that factor only.
+    The truncated side is recomputed from slices: each symbol's last ``reach`` rows up to a sampled date, which
+    is all that the audited features look back on. A row joins the slices of the sampled dates among its
+    symbol's next rows, found in one window, so at most cuts x reach x symbols rows are recomputed.
     """
     dates = evenly_spaced(rows, cuts, skip, skip).select(F.col("date").alias("cut"))
     ends = dates.agg(F.array_sort(F.collect_list("cut"))).scalar()
-    versions = F.concat(F.array(F.lit(None).cast("date")), F.filter(F.col("_ends"), lambda d: F.col("date") <= d))
-    tagged = (rows.withColumn("_ends", ends)
-              .select(*rows.columns, "_ends", F.explode(versions).alias("cut")))
-    block = X.price_features(tagged, lags=(20,), windows=(20,), correlations=(), momenta=(20,),
-                             keys=["cut", "symbol"])
-    at_cut = block.where(F.array_contains("_ends", F.col("date"))
-                         & (F.col("cut").isNull() | (F.col("cut") == F.col("date"))))
-    at_cut = at_cut.select("symbol", "date", F.col("cut").isNull().alias("whole"), *sources)
+    tagged = rows.withColumn("_ends", ends)
+    sampled = F.array_contains("_ends", F.col("date"))
+    ahead = Window.partitionBy("symbol").orderBy("date").rowsBetween(0, reach - 1)
+    slices = (tagged.withColumn("_cuts", F.collect_list(F.when(sampled, F.col("date"))).over(ahead))
+              .select(*rows.columns, F.explode("_cuts").alias("cut")))
+
+    def featured(df: DataFrame, *more: str) -> DataFrame:
+        return X.price_features(df, lags=(20,), windows=(20,), correlations=(), momenta=(20,), keys=[*more, "symbol"])
+
+    cut = featured(slices, "cut").where(F.col("cut") == F.col("date")).select("symbol", "date", F.lit(False).alias("whole"), *sources)
+    whole = featured(tagged).where(sampled).select("symbol", "date", F.lit(True).alias("whole"), *sources)
+    at_cut = whole.unionByName(cut)
     ranked = X.cross_sectional_ranks(at_cut, sources, by=["whole", "date"])
     checks = []
     for s in sources:
@@ -184,14 +189,24 @@ def month_dip(sentiment: DataFrame, month: date) -> DataFrame:
 
 
 def independent_sessions(news: DataFrame, sessions: DataFrame) -> DataFrame:
-    """News sessions found another way: a search in each symbol's sorted session list.
+    """News sessions found another way: by months, joined on (symbol, month).
 
-    The list is one symbol's trading days, so it is bounded by the calendar.
+    A symbol's sessions of a month are the bits of one integer, next to the first session of its later months.
+    The session after a day is the lowest bit above it, or that later session. Work and rows are linear in news
+    days plus sessions; a month without sessions is a row of its own with no bits.
     """
-    lists = sessions.groupBy("symbol").agg(F.collect_set("date").alias("_days"))
-    stated = news.select("symbol", "date").distinct()
-    found = stated.join(lists, "symbol").select(
-        "symbol", F.array_min(F.filter("_days", lambda d: d > F.col("date"))).alias("date"))
+    month = F.trunc("date", "month").alias("month")
+    stated = news.select("symbol", "date", month).distinct()
+    held = sessions.select("symbol", month, F.dayofmonth("date").alias("_day"), "date")
+    bits = held.groupBy("symbol", "month").agg(F.bit_or(F.expr("shiftleft(1L, _day - 1)")).alias("_bits"), F.min("date").alias("_first"))
+    empty = stated.select("symbol", "month", F.lit(0).cast("long").alias("_bits"), F.lit(None).cast("date").alias("_first"))
+    months = bits.unionByName(empty).groupBy("symbol", "month").agg(F.max("_bits").alias("_bits"), F.min("_first").alias("_first"))
+    later = Window.partitionBy("symbol").orderBy("month").rowsBetween(1, Window.unboundedFollowing)
+    months = months.select("symbol", "month", "_bits", F.min("_first").over(later).alias("_later"))
+    above = F.expr("shiftright(_bits, dayofmonth(date))")
+    lowest = F.bit_count(above.bitwiseAND(-above) - 1)
+    found = stated.join(months, ["symbol", "month"]).select(
+        "symbol", F.when(above != 0, F.date_add("date", lowest + 1)).otherwise(F.col("_later")).alias("date"))
     return found.where(F.col("date").isNotNull()).distinct()
 
 

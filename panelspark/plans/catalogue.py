@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelspark import params
 from panelspark.functions import text as T
-from panelspark.operators import (alignment, articles, bars as B, features as X, folds as C, inference as I,
+from panelspark.operators import (alignment, articles, bars as B, bootstrap, features as X, folds as C, inference as I,
                                   normalise as N, portfolio as P, profiles, quality, rebalance as R, ridge,
                                   sampling, series, universe as U)
 from panelspark.plans import fixtures as fx
@@ -448,7 +448,13 @@ def truncation_causality(spark, sf):
 
 @query
 def rank_truncation(spark, sf):
-    return quality.rank_truncation(fx.adjusted(spark, sf), min_names=2)
+    return quality.rank_truncation(fx.adjusted(spark, sf))
+
+
+@query
+def independent_sessions(spark, sf):
+    """The session after each news day by month bits, apart from the as-of join that the panel uses."""
+    return quality.independent_sessions(fx.news(spark, sf), fx.sessions(spark, sf))
 
 
 # ---- rebalance dates, folds, samples ------------------------------------------------
@@ -594,6 +600,32 @@ def newey_west(spark, sf):
     return rounded(I.newey_west(daily, "gross", lags=fx.SPEC.horizon - 1))
 
 
+def _horizon_returns(spark, sf, horizons: tuple[int, ...] = (5, 20)) -> DataFrame:
+    """Daily gross of the top momentum decile per label horizon, dates with a label only; they overlap."""
+    panel = X.forward_labels(fx.adjusted(spark, sf), horizons).select("symbol", "date", *[f"fwd_ret_{h}" for h in horizons])
+    scored = _eligible(spark, sf).select("symbol", "date", F.col("MOM_20").alias("score")).join(panel, ["symbol", "date"])
+    tall = scored.select("symbol", "date", "score", F.explode(F.array(*[
+        F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_ret_{h}").alias("y")) for h in horizons])).alias("_h")).select("symbol", "date", "score", "_h.*")
+    chosen = P.top_fraction(durable(tall.where(F.col("y").isNotNull())), ["horizon"], date="date")
+    return chosen.groupBy("horizon", "date").agg(F.avg("y").alias("gross"))
+
+
+@query
+def bootstrap_horizons(spark, sf):
+    """Stationary bootstrap intervals of overlapping returns: blocks as long as the overlap, on average."""
+    rows = _horizon_returns(spark, sf)
+    each = bootstrap.replicate_statistics(rows, "gross", ["horizon"], mean_block="horizon", spacing="horizon")
+    return rounded(bootstrap.intervals(each, ["horizon"]))
+
+
+@query
+def detectable_effect(spark, sf):
+    """Smallest Sharpe difference each horizon can show, by non-overlapping periods and by effective size."""
+    rows = _horizon_returns(spark, sf).withColumn("lags", F.col("horizon") - 1)
+    sizes = bootstrap.effective_size(rows, "gross", "lags", ["horizon"])
+    return rounded(bootstrap.detectable_effect(sizes, "horizon"))
+
+
 @query
 def objective_diagnostics(spark, sf):
     scores = _momentum(spark, sf).withColumn("logvar", F.ln(F.col("STD_20") * F.col("STD_20")))
@@ -670,6 +702,13 @@ def deflated_sharpe_probability(spark, sf):
     return rounded(I.deflated_sharpe(_difference(spark, sf), "d", ["model"]).select("model", "z", "dsr", "p"))
 
 
+@query
+def bootstrap_difference(spark, sf):
+    """Intervals of the mean and Sharpe ratio of the paired difference, blocks of four periods on average."""
+    each = bootstrap.replicate_statistics(_difference(spark, sf), "d", ["model"], "date_id", mean_block=4.0)
+    return rounded(bootstrap.intervals(each, ["model"]))
+
+
 @query
 def pbo(spark, sf):
     cells, _, test = _cells(spark, sf)
