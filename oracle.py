@@ -823,6 +823,46 @@ SQL["decile_curve"] = "SELECT decile, round(mean_fwd, 6) AS mean_fwd, n FROM cur
 SQL["decile_monotonicity"] = """SELECT round(covar_samp(decile, mean_fwd) / (stddev_samp(decile) * stddev_samp(mean_fwd)), 6)
  AS mono, round(arg_max(mean_fwd, decile) - arg_min(mean_fwd, decile), 6) AS spread FROM curve"""
 
+# ---- ridge ------------------------------------------------------------------------------
+
+_F = fx.MODEL_FEATURES
+
+
+def _ridge(train: str, alphas: str) -> str:
+    """(fold, alpha, mu, sd, z): weights of standardised features by Gauss-Jordan steps; ``train`` has fold, y and the features."""
+    size = len(_F)
+    moments = f"""SELECT fold, count(*) AS n, [{', '.join(f'avg({f})' for f in _F)}] AS mu, [{', '.join(f'stddev_pop({f}) + 1e-8' for f in _F)}] AS sd,
+ [{', '.join('[' + ', '.join(f'covar_pop({a}, {b})' for b in _F) + ']' for a in _F)}] AS xx, [{', '.join(f'covar_pop({a}, y)' for a in _F)}] AS xy
+ FROM {train} GROUP BY fold"""
+    system = f"""SELECT fold, alpha, mu, sd, i, [CASE WHEN j > {size} THEN n * xy[i] / sd[i]
+  ELSE n * xx[i][j] / (sd[i] * sd[j]) + CASE WHEN i = j THEN alpha ELSE 0 END END FOR j IN range(1, {size + 2})] AS r
+ FROM ({moments}), (SELECT unnest({alphas}::DOUBLE[]) AS alpha), (SELECT unnest(range(1, {size + 1})) AS i)"""
+    for k in range(1, size + 1):
+        system = f"""SELECT fold, alpha, mu, sd, i, CASE WHEN i = {k} THEN [x / p[{k}] FOR x IN r]
+ ELSE [r[j] - r[{k}] * p[j] / p[{k}] FOR j IN range(1, {size + 2})] END AS r FROM (
+ SELECT *, first_value(r) OVER (PARTITION BY fold, alpha ORDER BY abs(i - {k})) AS p FROM ({system}))"""
+    return f"""SELECT fold, alpha, any_value(mu) AS mu, any_value(sd) AS sd, list(r[{size + 1}] ORDER BY i) AS z FROM ({system}) GROUP BY fold, alpha"""
+
+
+_LINEAR = f"list_sum([z[i] * (x[i] - mu[i]) / sd[i] FOR i IN range(1, {len(_F) + 1})])"
+CTE["foldrows"] = f"""SELECT c.fold, c.role, r.t, r.date, r.symbol, r.y, {', '.join(f'r.{f}' for f in _F)}, [{', '.join(f'r.{f}' for f in _F)}] AS x
+ FROM rebrows r JOIN cpcv c ON r.date = c.date"""
+CTE["ridgemodels"] = _ridge("(SELECT * FROM foldrows WHERE role = 'train')", "[10.0]")
+SQL["ridge_scores"] = f"""SELECT f.fold, t, symbol, round(y, 6) AS y, round({_LINEAR}, 6) AS score
+ FROM foldrows f JOIN ridgemodels m ON f.fold = m.fold WHERE role = 'test'"""
+CTE["innerfolds"] = SQL["nested_inner"]
+CTE["innerrows"] = f"""SELECT c.fold, c.role, r.date, r.symbol, r.y, {', '.join(f'r.{f}' for f in _F)}, [{', '.join(f'r.{f}' for f in _F)}] AS x
+ FROM rebrows r JOIN innerfolds c ON r.date = c.date"""
+CTE["innermodels"] = _ridge("(SELECT * FROM innerrows WHERE role = 'train')", str(list(cat.ALPHAS)))
+CTE["alphapath"] = f"""SELECT f.fold, alpha, avg(pow({_LINEAR} - y, 2)) AS mse FROM innerrows f JOIN innermodels m ON f.fold = m.fold
+ WHERE role = 'val' GROUP BY f.fold, alpha"""
+SQL["ridge_alpha"] = "SELECT fold, alpha, round(mse, 8) AS mse FROM alphapath"
+SQL["ridge_best_alpha"] = "SELECT fold, alpha FROM alphapath QUALIFY row_number() OVER (PARTITION BY fold ORDER BY mse, alpha) = 1"
+CTE["chosenmodels"] = _ridge("(SELECT * FROM foldrows WHERE role = 'train')", str(list(cat.ALPHAS)))
+SQL["ridge_selected_scores"] = f"""SELECT f.fold, m.alpha, t, symbol, round(y, 6) AS y, round({_LINEAR}, 6) AS score FROM foldrows f
+ JOIN (SELECT fold, alpha FROM alphapath QUALIFY row_number() OVER (PARTITION BY fold ORDER BY mse, alpha) = 1) a ON f.fold = a.fold
+ JOIN chosenmodels m ON f.fold = m.fold AND a.alpha = m.alpha WHERE role = 'test'"""
+
 # ---- series -------------------------------------------------------------------------
 
 CTE["standard"] = f"""SELECT symbol, date, (c - avg({(_t := f"CASE WHEN date <= {_d(fx.SPLITS.train[1])} THEN c END")}) OVER

@@ -803,18 +803,30 @@ def ridge_scores(spark, sf):
     return rounded(ridge.score_folds(rows, roles, models, fx.MODEL_FEATURES, ("t", "symbol", "y")))
 
 
+def _alpha_path(rows: DataFrame, dates: DataFrame) -> DataFrame:
+    roles = durable(ridge.segments(C.nested_inner(C.purged_folds(dates)), "val"))
+    return ridge.alpha_path(rows.select("date", "y", *fx.MODEL_FEATURES), roles, fx.MODEL_FEATURES, ALPHAS)
+
+
 @query
 def ridge_alpha(spark, sf):
-    rows, dates = fx.rebalance_rows(spark, sf)
-    inner = C.nested_inner(C.purged_folds(dates))
-    roles = durable(ridge.segments(inner, "val"))
-    return rounded(ridge.alpha_path(rows.select("date", "y", *fx.MODEL_FEATURES), roles, fx.MODEL_FEATURES, ALPHAS),
-                   8)
+    return rounded(_alpha_path(*fx.rebalance_rows(spark, sf)), 8)
 
 
 @query
 def ridge_best_alpha(spark, sf):
-    return ridge.best_alpha(ridge_alpha(spark, sf))
+    return ridge.best_alpha(_alpha_path(*fx.rebalance_rows(spark, sf)))
+
+
+@query
+def ridge_selected_scores(spark, sf):
+    """Every fold tested with the alpha its own inner split selects."""
+    rows, dates = fx.rebalance_rows(spark, sf)
+    rows = durable(rows.select("t", "date", "symbol", "y", *fx.MODEL_FEATURES))
+    roles = durable(ridge.segments(C.purged_folds(dates)))
+    chosen = durable(ridge.best_alpha(_alpha_path(rows, dates)))
+    models = ridge.fit_folds(rows, roles, fx.MODEL_FEATURES, chosen)
+    return rounded(ridge.score_folds(rows, roles, models, fx.MODEL_FEATURES, ("alpha", "t", "symbol", "y")))
 
 
 @query

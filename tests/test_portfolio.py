@@ -195,3 +195,39 @@ def test_ridge_alpha_path(spark, panel):
         va = panel[tag == "val"]
         want = ((closed_form(panel[tag == "train"], va, alpha) - va["y"]) ** 2).mean()
         assert mse == pytest.approx(want, rel=1e-9)
+
+
+def test_moments_merge_like_their_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((5000, 3)) * [1, 1, 1e-3] + [1e6, -1e9, 0]
+    parts = [ridge.Moments.of(x[i:i + 37]) for i in range(0, len(x), 37)]
+    merged = ridge._pairwise(parts)
+    exact = np.cov((x - x[0]).T, bias=True) * len(x)
+    np.testing.assert_allclose(merged.products, exact, rtol=1e-6, atol=1e-6)
+    np.testing.assert_allclose(merged.products[0, 0], exact[0, 0], rtol=1e-11)
+    np.testing.assert_allclose(merged.mean, x.mean(axis=0), rtol=1e-14)
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(k=rng.integers(0, 3, len(x)))
+    pdf.loc[::50, "a"] = np.nan
+    rows = spark.createDataFrame(pdf).withColumn("a", F.when(~F.isnan("a"), F.col("a"))).repartition(9)
+    for r in ridge.co_moments(rows, "k", ["a", "b", "c"], fan_in=2).collect():
+        own = pdf[(pdf.k == r["k"]) & pdf.a.notna()][["a", "b", "c"]].to_numpy()
+        assert r["n"] == len(own)
+        np.testing.assert_allclose(np.reshape(r["products"], (3, 3))[0, 0], ((own[:, 0] - own[:, 0].mean()) ** 2).sum(), rtol=1e-10)
+        np.testing.assert_allclose(r["mean"], own.mean(axis=0), rtol=1e-13)
+
+
+def test_ridge_with_a_far_off_feature_and_an_alpha_per_fold(spark, panel):
+    from panelspark.operators import folds as C
+    far = panel.assign(a=panel["a"] + 1e6)
+    rows = spark.createDataFrame(far.drop(columns="i"))
+    folds = C.purged_folds(rows).cache()
+    alphas = spark.createDataFrame([(f, 10.0 ** (f % 3)) for f in range(14)], "fold int, alpha double")  # none for the last fold
+    models = {r["fold"]: r for r in ridge.fit_folds(rows, ridge.segments(folds), ["a", "b", "c"], alphas).collect()}
+    assert set(models) == set(range(14))
+    table = folds.toPandas()
+    for fold, m in models.items():
+        tag = far["date"].map(table[table.fold == fold].set_index("date")["role"])
+        tr, te = panel[tag == "train"], panel[tag == "test"]
+        want = closed_form(tr, te, 10.0 ** (fold % 3))
+        x = far[tag == "test"][["a", "b", "c"]].to_numpy()
+        np.testing.assert_allclose(x @ m["weights"] + m["intercept"], want, atol=1e-7)
