@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.session import shipped
+
 STD_EPS = 1e-8
 
 
@@ -96,6 +98,7 @@ def co_moments(rows: DataFrame, key: str, columns: Sequence[str], fan_in: int =
     def merged(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{key: frame[key].iloc[0], "part": frame["part"].iloc[0], **_pairwise(_read(frame)).row()}])
 
+    shipped(rows.sparkSession)
     first = rows.select(key, *columns).mapInPandas(reduce_task, shape)
     middle = first.groupBy(key, "part").applyInPandas(merged, shape)
     return middle.withColumn("part", F.lit(0)).groupBy(key).applyInPandas(merged, shape).drop("part")

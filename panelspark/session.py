@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,21 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="panelspark-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application: tasks that run Python import it."""
+    if spark.sparkContext.applicationId not in _SHIPPED:
+        top = os.path.dirname(os.path.abspath(__file__))
+        name = os.path.join(tempfile.mkdtemp(prefix="panelspark-"), "panelspark-core.zip")
+        with zipfile.ZipFile(name, "w") as z:
+            for folder, _, files in os.walk(top):
+                for f in sorted(files):
+                    if f.endswith(".py"):
+                        z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), os.path.dirname(top)))
+        spark.sparkContext.addPyFile(name)
+        _SHIPPED.add(spark.sparkContext.applicationId)
+    return spark

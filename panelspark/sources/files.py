@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelspark.functions import text
+from panelspark.sources.quoted_csv import read_quoted_csv
 
 # Column names of the raw files.
 PRICE_COLUMNS = ("date", "volume", "open", "high", "low", "close", "adj close")
@@ -80,24 +78,10 @@ def read_news(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """News rows (ts, symbol, title, body, url, src), all text.
 
     Columns are found by name in each file's own header, and a missing one is NULL. A line with too
-    many fields is dropped, a short one is kept with NULLs. Quoted line
-    breaks force one task per file: keep the raw feed as many files, or store it as
-    Parquet once, before running at scale.
+    many fields is dropped, a short one is kept with NULLs. Bodies may hold line ends; files are read in
+    parallel within, see :mod:`panelspark.sources.quoted_csv`.
     """
-    reader = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-              .option("encoding", "UTF-8"))
-    files = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]
-    by_header: dict[tuple, list[str]] = {}
-    for name in files:  # a raw feed is a few large files
-        by_header.setdefault(tuple(reader.csv(name).columns), []).append(name)
-    parts = []
-    for head, names in by_header.items():
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*head, "_extra"]])
-        rows = reader.schema(schema).option("mode", "PERMISSIVE").option("enforceSchema", True).csv(names)
-        parts.append(rows.where(F.col("_extra").isNull()).select(
-            *[(F.col(f"`{raw}`") if raw in head else F.lit(None).cast("string")).alias(name) for raw, name in NEWS_COLUMNS.items()],
-            F.lit(tag).alias("src")))
-    return reduce(DataFrame.unionByName, parts)
+    return read_quoted_csv(spark, path, NEWS_COLUMNS).withColumn("src", F.lit(tag))
 
 
 def read_tickers(spark: SparkSession, path: str) -> DataFrame:
