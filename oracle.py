@@ -895,3 +895,4 @@ SQL["stream_dedup"] = """SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS symbol, s
  o_orderpriority AS ntitle FROM orders"""
 SQL["stream_daily_counts"] = """SELECT CAST(o_custkey AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS day, count(*) AS n
  FROM orders GROUP BY 1, 2"""
+SQL["incremental_sentiment"] = SQL["sentiment_daily"]

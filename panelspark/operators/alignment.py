@@ -77,12 +77,17 @@ def session_sentiment(news: DataFrame, sessions: DataFrame, score: str = "sent_s
 
 def sentiment_daily(news: DataFrame, sessions: DataFrame, half_life: float = params.SENTIMENT_HALF_LIFE,
                     score: str = "sent_signed") -> DataFrame:
-    """One row per session: last news value halved every ``half_life`` sessions.
+    """One row per session: last news value halved every ``half_life`` sessions."""
+    return daily_from_days(news_days(news, score), sessions, half_life)
+
+
+def daily_from_days(days: DataFrame, sessions: DataFrame, half_life: float = params.SENTIMENT_HALF_LIFE) -> DataFrame:
+    """:func:`sentiment_daily` from moments as :func:`news_days` gives them; a day may have several rows to merge.
 
     Sessions travel through the alignment as empty rows, so the per-session aggregate
     yields quiet sessions too and no join back to the calendar is needed.
     """
-    aligned = next_session(news_days(news, score), sessions)
+    aligned = next_session(days, sessions)
     landing = F.when(F.col("_session") == 1, F.col("date")).otherwise(F.col("eff"))
     per_session = (aligned.withColumn("date", landing).where(F.col("date").isNotNull())
                    .groupBy("symbol", "date").agg(*_merged()))

@@ -19,6 +19,7 @@ from panelspark.plans import research
 from panelspark.session import durable
 from panelspark.sources.tables import table
 from panelspark.streaming import news as stream
+from panelspark.streaming import sentiment as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -924,3 +925,17 @@ def stream_dedup(spark, sf):
 @query
 def stream_daily_counts(spark, sf):
     return _drain(spark, stream.daily_counts(_orders_stream(spark, sf)))
+
+
+@query
+def incremental_sentiment(spark, sf):
+    """The sentiment table kept up to date by a stream: four batches that all reach back to the first day, a restart after two."""
+    news = fx.news(spark, sf).select("symbol", "date", "sent_signed")
+    feed, root, sessions = _shared(spark, "feed"), _shared(spark, "live"), durable(fx.sessions(spark, sf))
+    part = F.pmod(F.xxhash64("symbol", "date"), F.lit(4))
+    for k in range(4):
+        news.where(part == k).coalesce(1).write.mode("append").parquet(feed)
+        if k in (1, 3):
+            arriving = stream.news_stream(spark, feed, news.schema, files_per_trigger=1)
+            live.maintain(arriving, sessions, root, shards=4).awaitTermination()
+    return rounded(live.read(spark, root), 8)
