@@ -17,6 +17,7 @@ from panelspark.operators import (alignment, articles, bars as B, bootstrap, fea
 from panelspark.plans import fixtures as fx
 from panelspark.plans import research
 from panelspark.session import durable
+from panelspark.sources import sinks
 from panelspark.sources.tables import table
 from panelspark.streaming import news as stream
 from panelspark.streaming import sentiment as live
@@ -643,13 +644,19 @@ def selection_metric(spark, sf):
 # ---- scores to verdict --------------------------------------------------------------
 
 def _cells(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(score cells, all dates, test dates): the stage boundary is a stored table."""
+    """(score cells, all dates, test dates): the stage boundary is a table stored by split, model and arm.
+
+    Dates are one row per rebalance date, which bounds their broadcast.
+    """
     cells, dates = fx.score_cells(spark, sf)
-    return durable(cells), dates, dates.where(F.col("split") == "test")
+    dates = durable(dates)
+    tagged = cells.join(F.broadcast(dates.select("date_id", "split")), "date_id", "left")
+    stored = sinks.store_stage(tagged, _shared(spark, "cells"), ("split", "model", "arm"))
+    return stored, dates, dates.where(F.col("split") == "test")
 
 
 def _paired(cells: DataFrame, test: DataFrame) -> DataFrame:
-    average = I.average_scores(cells)
+    average = I.average_scores(cells.where(F.col("split") == "test"))
     shared = average.where((F.col("model") == "m0") & (F.col("arm") == "ridge"))
     both = average.where(F.col("arm") != "ridge").unionByName(shared)
     return I.pair_arms(both).join(F.broadcast(test.select("date_id")), "date_id", "left_semi")
@@ -681,7 +688,7 @@ def arm_gain(spark, sf):
 @query
 def seed_dispersion(spark, sf):
     cells, _, test = _cells(spark, sf)
-    return rounded(I.seed_dispersion(cells, test))
+    return rounded(I.seed_dispersion(cells.where(F.col("split") == "test"), test))
 
 
 def _difference(spark, sf) -> DataFrame:

@@ -35,6 +35,18 @@ def write_scores(scores: DataFrame, root: str) -> None:
      .partitionBy(*CELL).parquet(root))
 
 
+def store_stage(rows: DataFrame, root: str, by: Sequence[str]) -> DataFrame:
+    """Write a stage table partitioned by ``by`` and return it as stored.
+
+    The next stage reads only the partitions and columns it names, and a lost executor repeats a task of that
+    stage, not the stage before. Partitions are merged into few files or split into several by their size.
+    """
+    (rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .option("compression", "zstd").partitionBy(*by).parquet(root))
+    order = [*[c for c in rows.columns if c not in by], *by]
+    return rows.sparkSession.read.schema(rows.select(order).schema).parquet(root).select(rows.columns)
+
+
 def finished_cells(spark: SparkSession, root: str) -> DataFrame | None:
     try:
         return spark.read.parquet(root).select(*CELL).distinct()
