@@ -896,3 +896,32 @@ SQL["stream_dedup"] = """SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS symbol, s
 SQL["stream_daily_counts"] = """SELECT CAST(o_custkey AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS day, count(*) AS n
  FROM orders GROUP BY 1, 2"""
 SQL["incremental_sentiment"] = SQL["sentiment_daily"]
+
+# ---- text units -------------------------------------------------------------------------
+
+SQL["lexicon_agreement"] = f"""SELECT round(avg(CAST(sign(p_pos - p_neg) = lex AS INTEGER)), 6) AS agreement, count(*) AS n FROM (
+ SELECT p.*, {_lex("split_part(text, chr(10), 1)")} AS lex, CASE WHEN p_pos >= greatest(p_neg, p_neu) THEN 'pos'
+  WHEN p_neg >= greatest(p_pos, p_neu) THEN 'neg' ELSE 'neu' END AS label FROM probs p JOIN documents d ON p.doc_id = d.doc_id
+ QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(p.doc_id || ':1'), p.doc_id) <= 70) WHERE lex <> 0"""
+CTE["unitrows"] = f"""SELECT f.fwd_ret_5 AS y, CAST(exp(tp) / (exp(tp) + exp(tn) + 1) AS FLOAT) - CAST(exp(tn) / (exp(tp) + exp(tn) + 1) AS FLOAT) AS title_sent_signed,
+  CAST(exp(bp) / (exp(bp) + exp(bn) + 1) AS FLOAT) - CAST(exp(bn) / (exp(bp) + exp(bn) + 1) AS FLOAT) AS body_sent_signed FROM (
+ SELECT symbol, CAST(substr(ts, 1, 10) AS DATE) AS date, {_hits('title', cat.POSITIVE)} AS tp, {_hits('title', cat.NEGATIVE)} AS tn,
+  {_hits('body', cat.POSITIVE)} AS bp, {_hits('body', cat.NEGATIVE)} AS bn FROM arts WHERE length(body) > {params.LONG_BODY_CHARS}) a
+ JOIN fwd520 f ON a.symbol = CAST(f.symbol AS VARCHAR) AND a.date = f.date WHERE f.fwd_ret_5 IS NOT NULL AND {_between(fx.SPLITS.train).replace('date', 'f.date')}
+ QUALIFY count(*) OVER (PARTITION BY a.symbol) >= 2"""
+SQL["unit_ic"] = " UNION ALL ".join(
+    f"SELECT '{u}' AS unit, round({_spearman('rx', 'ry')}, 6) AS ic, count(*) AS n FROM (SELECT {_average_rank(u)} AS rx, {_average_rank('y')} AS ry FROM unitrows)"
+    for u in ("title_sent_signed", "body_sent_signed"))
+
+# ---- sources and sinks ------------------------------------------------------------------
+
+SQL["news_csv_feed"] = """SELECT src, symbol, ts, md5(nullif(title, '')) AS title_md5, md5(nullif(body, '')) AS body_md5,
+ CAST(length(nullif(body, '')) AS INTEGER) AS body_chars, nullif(url, '') AS url FROM arts"""
+SQL["price_csv_feed"] = """SELECT CAST(symbol AS VARCHAR) AS ticker, date, volume, close, NULL AS problem
+ FROM bars WHERE symbol <> 3 UNION ALL SELECT '3', NULL, NULL, NULL, 'needed columns are missing' WHERE EXISTS (SELECT 1 FROM bars WHERE symbol = 3)"""
+SQL["ticker_list"] = "SELECT DISTINCT 'S' || CAST(s_suppkey % 50 AS VARCHAR) AS ticker FROM supplier"
+SQL["stored_panel"] = f"""SELECT symbol, date, {_r(['KMID', 'MOM_20', 'fwd_ret_5'])} FROM mpanel
+ WHERE split IN ('val', 'test') AND symbol IN (1, 2, 3, 5, 8)"""
+SQL["stored_scores"] = """SELECT model, arm, seed, fold, count(*) AS n, round(avg(score + CASE WHEN fold = 1 THEN 1 ELSE 0 END), 6) AS score
+ FROM cells WHERE model = 'm1' AND arm = 'mse' AND fold < 3 GROUP BY ALL"""
+SQL["json_report"] = SQL["reason_counts"]

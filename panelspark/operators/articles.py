@@ -6,11 +6,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark import params
-from panelspark.functions import ranking
 from panelspark.functions import text as T
 from panelspark.operators.sampling import mixed
 
@@ -148,10 +147,26 @@ class LexiconScorer:
         return weights / weights.sum(axis=1, keepdims=True)
 
 
+def score_lexicon(rows: DataFrame, column: str, positive: Sequence[str] = params.POSITIVE_WORDS,
+                  negative: Sequence[str] = params.NEGATIVE_WORDS, prefix: str = "") -> DataFrame:
+    """Add p_pos, p_neg, p_neu and sent_signed of the word-list scorer, in column expressions only.
+
+    The softmax of the numbers of distinct positive words, distinct negative words, and 0. A missing text has no words.
+    """
+    words = T.word_set(F.coalesce(F.col(column), F.lit("")))
+    counted = rows.withColumn("_w", words).withColumn("_h", F.struct(
+        T.hits(F.col("_w"), positive).alias("pos"), T.hits(F.col("_w"), negative).alias("neg")))
+    top = F.greatest(F.col("_h.pos"), F.col("_h.neg"), F.lit(0))
+    parts = {n: F.exp(v - top) for n, v in (("p_pos", F.col("_h.pos")), ("p_neg", F.col("_h.neg")), ("p_neu", F.lit(0)))}
+    total = parts["p_pos"] + parts["p_neg"] + parts["p_neu"]
+    scored = counted.select(*rows.columns, *[(v / total).cast("float").alias(prefix + n) for n, v in parts.items()])
+    return scored.withColumn(f"{prefix}sent_signed", F.col(f"{prefix}p_pos") - F.col(f"{prefix}p_neg"))
+
+
 def score_text(rows: DataFrame, column: str, make_scorer: Callable[[], Scorer] = LexiconScorer) -> DataFrame:
     """Add p_pos, p_neg, p_neu and sent_signed from a pluggable scorer.
 
-    An iterator pandas UDF: the scorer (a model, typically) is built once per task and
+    For the word lists themselves :func:`score_lexicon` needs no Python. An iterator pandas UDF: the scorer (a model, typically) is built once per task and
     sees Arrow batches of whole texts. Only the text column crosses to Python.
     """
     @F.pandas_udf("struct<p_pos:float,p_neg:float,p_neu:float>")
@@ -166,7 +181,10 @@ def score_text(rows: DataFrame, column: str, make_scorer: Callable[[], Scorer] =
             .withColumn("sent_signed", F.col("p_pos") - F.col("p_neg")))
 
 
-def sign_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
+def sign_agreement(df: DataFrame, a: str, b: str, decided: bool = False) -> DataFrame:
+    """Share of rows whose signs are equal, and their number; with ``decided`` of rows where ``b`` is not zero."""
+    if decided:
+        df = df.where(F.col(b) != 0)
     return df.agg(F.avg((F.signum(F.col(a).cast("double")) == F.signum(F.col(b).cast("double"))).cast("int"))
                   .alias("agreement"), F.count(F.lit(1)).alias("n"))
 
@@ -179,9 +197,11 @@ def date_only_share(news: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("articles"), F.avg(F.col("bare").cast("int")).alias("frac")))
 
 
-def stratified_sample(rows: DataFrame, label: str, key: str, per_label: int = 70, seed: int = 1,
-                      direct_rows: int = ranking.DIRECT_ROWS) -> DataFrame:
-    """Up to ``per_label`` rows of each label, in a repeatable pseudo-random order."""
-    shuffled = rows.withColumn("_order", mixed(key, seed))
-    return (ranking.positions(shuffled, [label], [F.col("_order"), F.col(key)], "_pos", "_n", direct_rows)
-            .where(F.col("_pos") <= per_label).drop("_order", "_pos", "_n"))
+def stratified_sample(rows: DataFrame, label: str, key: str, per_label: int = 70, seed: int = 1) -> DataFrame:
+    """Up to ``per_label`` rows of each label, in a repeatable pseudo-random order.
+
+    Every task keeps its own first rows of a label before anything is shuffled, so a label of any size
+    sends ``per_label`` rows per task and no more. Rows equal in key are as good as each other.
+    """
+    order = Window.partitionBy(label).orderBy(mixed(key, seed), F.col(key))
+    return rows.withColumn("_pos", F.row_number().over(order)).where(F.col("_pos") <= per_label).drop("_pos")

@@ -48,6 +48,22 @@ def matched_signal(signal: DataFrame, bars: DataFrame, labels: Sequence[str], mi
     return joined.withColumn("_n", size).where(F.col("_n") >= min_rows).drop("_n")
 
 
+def unit_ic(scored: DataFrame, bars: DataFrame, units: Sequence[str], label: str, min_rows: int = 10) -> DataFrame:
+    """Spearman correlation of each text unit's score with the return after its day, over single articles.
+
+    A symbol has many articles a day and all of them count; symbols with fewer than ``min_rows`` matched
+    articles do not. The number of articles of a symbol is one aggregate joined back, so a symbol with a third of
+    all articles is in no window. One row per unit: unit, ic, n.
+    """
+    joined = durable(scored.select("symbol", "date", *units).join(bars.select("symbol", "date", label), ["symbol", "date"])
+                     .where(F.col(label).isNotNull()))
+    enough = joined.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
+    kept = joined.join(enough.select("symbol"), "symbol", "left_semi")
+    tall = kept.select(label, F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).cast("double").alias("score"))
+                                                  for u in units])).alias("_u")).select(label, "_u.*")
+    return pooled_ic(tall.where(F.col("score").isNotNull()), "score", label, ["unit"]).select("unit", "ic", "n")
+
+
 def decile_of(position: Column, n: Column, bins: int = 10) -> Column:
     """0-based bin of a 1-based position when n positions are cut at even quantiles."""
     return F.greatest(F.lit(1), F.ceil((position - 1) * bins / (n - 1))) - 1

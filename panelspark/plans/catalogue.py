@@ -17,8 +17,8 @@ from panelspark.operators import (alignment, articles, bars as B, bootstrap, fea
 from panelspark.plans import fixtures as fx
 from panelspark.plans import research
 from panelspark.session import durable
-from panelspark.sources import sinks
-from panelspark.sources.tables import table
+from panelspark.sources import files, sinks
+from panelspark.sources.tables import load_panel, load_scores, table
 from panelspark.streaming import news as stream
 from panelspark.streaming import sentiment as live
 
@@ -239,12 +239,8 @@ def lexicon_sign(spark, sf):
                        articles.lexicon_sign(F.col("text"), POSITIVE, NEGATIVE).alias("lex"))
 
 
-def _scorer():
-    return articles.LexiconScorer(POSITIVE, NEGATIVE)
-
-
 def _scored(spark, sf, column: str = "text") -> DataFrame:
-    return articles.score_text(table(spark, sf, "documents", "doc_id", "text"), column, _scorer)
+    return articles.score_lexicon(table(spark, sf, "documents", "doc_id", "text"), column, POSITIVE, NEGATIVE)
 
 
 @query
@@ -259,6 +255,26 @@ def label_audit_sample(spark, sf):
     return articles.stratified_sample(scored, "label", "doc_id", 70).select("label", "doc_id")
 
 
+@query
+def lexicon_agreement(spark, sf):
+    """Score of the whole text against the lexicon on the title, on the audited rows where the lexicon decides."""
+    scored = _scored(spark, sf).withColumn("label", articles.label_of(F.col("p_pos"), F.col("p_neg"), F.col("p_neu")))
+    audit = articles.stratified_sample(scored, "label", "doc_id", 70)
+    titled = audit.withColumn("lex", articles.lexicon_sign(F.substring_index("text", "\n", 1), POSITIVE, NEGATIVE))
+    return rounded(articles.sign_agreement(titled, "sent_signed", "lex", decided=True))
+
+
+@query
+def unit_ic(spark, sf):
+    """Title and body scores of single articles against the five-day return, train dates."""
+    raw = fx.articles(spark, sf).where(F.length("body") > params.LONG_BODY_CHARS)
+    units = articles.score_lexicon(articles.score_lexicon(raw, "title", POSITIVE, NEGATIVE, "title_"), "body", POSITIVE, NEGATIVE, "body_")
+    day = F.substring("ts", 1, 10).cast("date")
+    inside = units.withColumn("date", day).where(day.between(F.lit(fx.SPLITS.train[0]), F.lit(fx.SPLITS.train[1])))
+    bars = X.forward_labels(fx.adjusted(spark, sf), (5,)).withColumn("symbol", F.col("symbol").cast("string"))
+    return rounded(I.unit_ic(inside, bars, ["title_sent_signed", "body_sent_signed"], "fwd_ret_5", min_rows=2))
+
+
 @query
 def sign_agreement(spark, sf):
     """Sign of the lexicon on the first line against the sign on the whole text."""
@@ -289,7 +305,7 @@ def title_join(spark, sf):
 def scored_titles(spark, sf):
     """Distinct articles scored, then matched one to one with their titles."""
     unique = durable(articles.strict_dedup(_clean(spark, sf), fx.SOURCES))
-    scored = articles.score_text(unique, "title", _scorer).select(*articles.STRICT_KEY, "sent_signed")
+    scored = articles.score_lexicon(unique, "title", POSITIVE, NEGATIVE).select(*articles.STRICT_KEY, "sent_signed")
     return rounded(articles.join_titles(scored, unique, articles.STRICT_KEY), 4)
 
 
@@ -946,3 +962,75 @@ def incremental_sentiment(spark, sf):
             arriving = stream.news_stream(spark, feed, news.schema, files_per_trigger=1)
             live.maintain(arriving, sessions, root, shards=4).awaitTermination()
     return rounded(live.read(spark, root), 8)
+
+
+# ---- sources and sinks --------------------------------------------------------------
+
+@query
+def news_csv_feed(spark, sf):
+    """Articles of both sources written as CSV with bodies of many lines, read back in parallel and put together."""
+    raw = fx.articles(spark, sf).select(*[F.col(ours).alias(name) for name, ours in (
+        ("Date", "ts"), ("Stock_symbol", "symbol"), ("Article_title", "title"), ("Article", "body"), ("Url", "url"))], "src", "doc_id")
+    parts = []
+    for src in fx.SOURCES:
+        folder = _shared(spark, f"news-{src}")
+        sinks.write_csv(raw.where(F.col("src") == src).drop("src"), folder, quote_all=src == "allext")
+        parts.append((src, files.read_news(spark, folder, src)))
+    both = articles.union_sources(parts)
+    return both.select("src", "symbol", "ts", F.md5("title").alias("title_md5"), F.md5("body").alias("body_md5"),
+                       F.length("body").alias("body_chars"), "url")
+
+
+@query
+def price_csv_feed(spark, sf):
+    """A folder of price files, one per ticker, as a feed delivers them; a torn file is listed and left out."""
+    bars = fx.bars(spark, sf)
+    cells = [F.date_format("date", "yyyy-MM-dd"), *[F.col(c).cast("string") for c in ("volume", "open", "high", "low", "close", "adj_close")]]
+    lines = bars.select(F.col("symbol").cast("string").alias("ticker"), F.lit(1).alias("rank"), "date", F.concat_ws(",", *cells).alias("line"))
+    head = lines.select("ticker").distinct().select("ticker", F.lit(0).alias("rank"), F.lit(None).cast("date").alias("date"), F.when(
+        F.col("ticker") != "3", ",".join(files.PRICE_COLUMNS)).otherwise("date,open").alias("line"))
+    folder = _shared(spark, "prices")
+    sinks.write_ticker_files(lines.unionByName(head), folder)
+    problems = durable(files.list_price_files(spark, folder))
+    rows = files.read_prices(spark, folder, problems)
+    listed = problems.where(F.col("problem").isNotNull()).select(
+        "ticker", F.lit(None).cast("date").alias("date"), *[F.lit(None).cast("double").alias(c) for c in ("volume", "close")], "problem")
+    return rows.select("ticker", "date", "volume", "close", F.lit(None).cast("string").alias("problem")).unionByName(listed)
+
+
+@query
+def ticker_list(spark, sf):
+    """Suppliers' numbers as a text list with blanks and lower case, read back."""
+    folder = _shared(spark, "tickers")
+    names = table(spark, sf, "supplier", "s_suppkey").select(F.concat(F.lit("  s"), F.col("s_suppkey") % 50, F.lit(" ")).alias("value"))
+    names.write.text(folder)
+    return files.read_tickers(spark, folder)
+
+
+@query
+def stored_panel(spark, sf):
+    """The model panel stored by split; two splits and one horizon read back for a list of symbols."""
+    root = _shared(spark, "panel")
+    panel = fx.model_panel(spark, sf).where(F.col("split").isNotNull())
+    sinks.write_parquet(panel, root, by=["split"])
+    rows, _ = load_panel(spark, root, ["val", "test"], 5, [1, 2, 3, 5, 8])
+    return rounded(rows.select("symbol", "date", "KMID", "MOM_20", "fwd_ret_5"))
+
+
+@query
+def stored_scores(spark, sf):
+    """Score cells stored one by one; a cell written again replaces itself; one arm is read back."""
+    root = _shared(spark, "scores")
+    cells = durable(fx.score_cells(spark, sf)[0].where(F.col("fold") < 3))
+    sinks.write_scores(cells, root)
+    sinks.write_scores(cells.where("fold = 1 and arm = 'mse'").withColumn("score", F.col("score") + 1), root)
+    return rounded(load_scores(spark, root, "m1", "mse").groupBy("model", "arm", "seed", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("score").alias("score")))
+
+
+@query
+def json_report(spark, sf):
+    """Universe reasons written as JSON and read back."""
+    folder = _shared(spark, "report")
+    sinks.write_json(U.reason_counts(_screened(spark, sf)), folder)
+    return spark.read.schema(U.reason_counts(_screened(spark, sf)).schema).json(folder)

@@ -17,8 +17,45 @@ def write_parquet(df: DataFrame, path: str, by: Sequence[str] = (), mode: str =
     df.write.mode(mode).option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
+    """CSV as RFC 4180 has it: quotes doubled inside quoted fields, white space kept, NULL and empty the same."""
+    (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", quote_all)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path))
+
+
+def write_ticker_files(lines: DataFrame, folder: str) -> None:
+    """One text file ``<ticker>.csv`` per ticker from (ticker, rank, date, line), in order of rank and date.
+
+    A ticker's file is the history of one symbol, which the calendar bounds. Files are written by the tasks that
+    hold the rows, under a name of their own, and put in place by a rename, so a repeated task does no harm.
+    """
+    def save(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+        place, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        place.create_dir(root, recursive=True)
+        ticker, out = None, []
+
+        def close():
+            if ticker is not None:
+                name = f"{root}/_{uuid.uuid4().hex}"
+                with place.open_output_stream(name) as f:
+                    f.write("".join(x + "\n" for x in out).encode())
+                place.move(name, f"{root}/{ticker}.csv")
+
+        for batch in batches:
+            for t, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if t != ticker:
+                    close()
+                    ticker, out = t, []
+                out.append(line)
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([1])], names=["done"])
+
+    ordered = lines.repartition("ticker").sortWithinPartitions("ticker", "rank", "date").select("ticker", "line")
+    ordered.mapInArrow(save, "done long").agg({"done": "sum"}).collect()
 
 
 def write_json(df: DataFrame, path: str) -> None:

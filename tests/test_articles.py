@@ -58,3 +58,34 @@ def test_streaming_dedup_equals_batch(spark, tmp_path):
     stream.write_stream(stream.dedup_stream(read), out, str(tmp_path / "state")).awaitTermination()
     got = spark.read.parquet(out).select("symbol", "date", "ntitle")
     assert got.count() == got.distinct().count() == rows.select("symbol", "date", "ntitle").distinct().count()
+
+
+def test_native_lexicon_scores_like_the_scorer(spark):
+    good, bad = articles.params.POSITIVE_WORDS[:3], articles.params.NEGATIVE_WORDS[:2]
+    texts = ["", None, " ".join(good), f"{good[0]}. {good[0]},{bad[0]}", "nothing here", " ".join([*good, *bad]) * 40, "a\u00a0" + bad[1].upper()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    native = {r["i"]: r for r in articles.score_lexicon(df, "t").collect()}
+    for r in articles.score_text(df, "t").collect():
+        for c in ("p_pos", "p_neg", "p_neu", "sent_signed"):
+            assert abs(native[r["i"]][c] - r[c]) < 1e-6
+    assert "Python" not in articles.score_lexicon(df, "t")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sample_per_label_is_cut_in_every_task(spark):
+    rows = spark.range(5000).select(F.col("id").alias("k"), F.when(F.col("id") < 20, "few").when(F.col("id") % 50 > 0, "many").alias("label"))
+    sample = articles.stratified_sample(rows, "label", "k", 70)
+    assert {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()} == {"few": 20, "many": 70, None: 70}
+    assert "WindowGroupLimit" in sample._jdf.queryExecution().executedPlan().toString()
+    assert set(map(tuple, sample.collect())) == set(map(tuple, articles.stratified_sample(rows.repartition(7), "label", "k", 70).collect()))
+
+
+def test_agreement_of_decided_signs(spark):
+    df = spark.createDataFrame([(0.5, 1), (-0.1, 1), (0.0, 0), (0.3, 0), (-2.0, -1)], "a double, b int")
+    assert tuple(articles.sign_agreement(df, "a", "b").first()) == (0.6, 5)
+    assert tuple(articles.sign_agreement(df, "a", "b", decided=True).first())[1] == 3
+
+
+def test_feeds_are_put_together(spark):
+    a = spark.createDataFrame([("x", 1)], "title string, n int")
+    got = articles.union_sources([("one", a), ("two", a.drop("n"))])
+    assert sorted(map(tuple, got.collect()), key=str) == [("x", 1, "one"), ("x", None, "two")]
