@@ -167,26 +167,45 @@ def join_tie_blocks(df: DataFrame, blocks: DataFrame, group: Sequence[str], valu
 
 
 def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float],
-              out: str = "q", direct_rows: int = DIRECT_ROWS) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, as an array in ``out``."""
-    group = list(group)
-    present = df.where(F.col(value).isNotNull())
-    _, largest = group_sizes(present, group)
-    if largest <= direct_rows:
-        return present.groupBy(*group).agg(
-            F.percentile(F.col(value) + F.lit(0.0), F.lit([float(p) for p in probs])).alias(out))  # + 0.0: no -0.0
-    blocks = tie_blocks(present, group, value, direct_rows=direct_rows)
-    picks, parts = [], []
-    for i, p in enumerate(probs):
-        at = (F.col("total") - 1) * F.lit(float(p))
-        for side, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            inside = (F.col("below") <= index) & (index < F.col("below") + F.col("ties"))
-            picks.append(F.max(F.when(inside, F.col(value))).alias(f"_{side}{i}"))
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        at_group = (F.col("_n") - 1) * F.lit(float(p))
-        parts.append(lo + (hi - lo) * (at_group - F.floor(at_group)))
-    return (blocks.groupBy(*group).agg(F.max("total").alias("_n"), *picks)
-            .select(*group, F.array(*parts).alias(out)))
+              out: str = "q", accuracy: int = 1000) -> DataFrame:
+    """Exact linearly interpolated quantiles per group, as an array in ``out``; NULL values are left out.
+
+    One plan, nothing is measured before it. A sketch of each group gives a bracket around every wanted
+    position, wide enough for the error it states; one more pass counts what lies below, inside and above. Only
+    the distinct values inside brackets, some 4 / ``accuracy`` of a group, are put in order. Rows below and
+    above collapse to one per task, so a group may hold any share of all rows. A bracket that misses its
+    position would stop the query; it cannot give another value.
+    """
+    group, wanted = list(group), [float(p) for p in probs]
+    present = df.where(F.col(value).isNotNull()).select(*group, (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))  # + 0.0: no -0.0
+    ends = [(p - 2 / accuracy, p + 2 / accuracy) for p in wanted]
+    marks = [min(1.0, max(0.0, e)) for pair in ends for e in pair]
+    sketch = present.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", marks, F.lit(accuracy)).alias("_s"))
+    brackets = F.array(*[F.struct((F.col("_s")[2 * i] if lo > 0 else F.lit(None).cast("double")).alias("lo"),
+                                  (F.col("_s")[2 * i + 1] if hi < 1 else F.lit(None).cast("double")).alias("hi"))
+                         for i, (lo, hi) in enumerate(ends)])
+    tall = join_null_safe(present, sketch, group).select(*group, "_n", "_v", F.posexplode(brackets).alias("_i", "_b"))
+    side = F.when(F.col("_v") < F.col("_b.lo"), -1).when(F.col("_v") > F.col("_b.hi"), 1).otherwise(0)
+    counted = (tall.withColumn("_side", side).groupBy(*group, "_i", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_at"))
+               .agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_v"), F.max("_n").alias("_n")))
+    spec = Window.partitionBy(*group, "_i").orderBy("_side", "_at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("_to", F.sum("_c").over(spec))
+    position = (F.col("_n") - 1) * F.element_at(F.lit(wanted), F.col("_i") + 1)
+
+    def value_at(rank: Column) -> Column:
+        # a position next to the bracket is known too: the greatest value below it, the least above it
+        first = F.col("_to") - F.col("_c")
+        here = (first <= rank) & (rank < F.col("_to"))
+        found = (F.when(F.col("_side") == 0, F.col("_v")).when((F.col("_side") == 1) & (first == rank), F.col("_v"))
+                 .when((F.col("_side") == -1) & (F.col("_to") - 1 == rank), F.col("_top"))
+                 .otherwise(F.raise_error(F.lit("a quantile's bracket missed it")).cast("double")))
+        return F.when(here, found)
+
+    low, high = value_at(F.floor(position)), value_at(F.ceil(position))
+    near = placed.select(*group, "_i", "_n", (position - F.floor(position)).alias("_part"), low.alias("_low"), high.alias("_high"))
+    each = near.groupBy(*group).agg(*[F.max(F.when(F.col("_i") == i, F.col(c))).alias(f"{c}{i}") for i in range(len(wanted)) for c in ("_low", "_high", "_part")])
+    parts = [F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * F.col(f"_part{i}") for i in range(len(wanted))]
+    return each.select(*group, F.array(*parts).alias(out))
 
 
 def rank_correlation(df: DataFrame, group: Sequence[str], x: str, y: str,

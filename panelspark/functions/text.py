@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from panelspark import params
 
 
+# What counts as white space, as a set of characters and as a pattern.
+BLANKS = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000")
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
@@ -29,12 +32,13 @@ def plausible_year(date_text: Column, first: int = 1990, last: int = 2026) -> Co
 
 def strip(raw: Column) -> Column:
     """Without white space at both ends: blanks, tabs, line ends and Unicode's own, as in :data:`SPACE`."""
-    return F.regexp_replace(raw, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(raw, F.lit(BLANKS))
 
 
 def first_words(text: Column, count: int) -> Column:
-    words = F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
-    return F.array_join(F.slice(words, 1, count), " ")
+    """The first ``count`` words, one blank apart. What is behind them is not looked at."""
+    head = F.regexp_extract(text, rf"^{SPACE}*+(?:[^{SPACE[1:-1]}]++{SPACE}*+){{0,{count}}}", 0)
+    return strip(F.regexp_replace(head, f"{SPACE}+", " "))
 
 
 def title_or_lead(title: Column, body: Column, count: int = params.TITLE_FALLBACK_WORDS) -> Column:

@@ -50,7 +50,7 @@ def soft_weights(scores: DataFrame, tau: float, by: Sequence[str] = (),
         raw = placed.withColumn("_w", _sigmoid(score, tau))
         summed = raw.withColumn("_sum", F.sum("_w").over(spec) + eps)
     else:
-        cut = ranking.quantiles(scores, keys, score, [1.0 - fraction], "_cut", direct_rows)
+        cut = ranking.quantiles(scores, keys, score, [1.0 - fraction], "_cut")
         spread = scores.groupBy(*keys).agg((F.stddev_pop(score) + eps).alias("_sd"),
                                            F.count(F.lit(1)).alias("_n"))
         cut = ranking.join_null_safe(spread, cut, keys, "left").withColumn("_q", F.col("_cut")[0]).drop("_cut")

@@ -42,7 +42,7 @@ def price_profile(prices: DataFrame, recent: int = RECENT_ROWS,
         ).select(*columns)
     gaps = traded.select("ticker", "date").distinct().select("ticker", gap)
     tail = ranking.positions(traded, ["ticker"], newest, "_age", "_n", direct_rows)
-    full = ranking.quantiles(traded, ["ticker"], "_dv", [0.5], "_full", direct_rows)
+    full = ranking.quantiles(traded, ["ticker"], "_dv", [0.5], "_full")
     out = traded.groupBy("ticker").agg(*span)
     for part in (gaps.groupBy("ticker").agg(widest),
                  full.select("ticker", F.col("_full")[0].alias("med_dollar_vol_full")),

@@ -52,11 +52,25 @@ def test_global_positions(frame, rows, limit):
     assert (got.sort_values("y")["position"].to_numpy() == np.arange(1, len(rows) + 1)).all()
 
 
-@pytest.mark.parametrize("limit", [DIRECT, SPLIT])
-def test_quantiles(frame, rows, limit):
-    got = ranking.quantiles(frame, ["g"], "x", [0.1, 0.5, 0.9], direct_rows=limit).toPandas().set_index("g")
+@pytest.mark.parametrize("accuracy", [10_000, 1000, 40, 6])
+def test_quantiles(frame, rows, accuracy):
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = ranking.quantiles(frame, ["g"], "x", probs, accuracy=accuracy).toPandas().set_index("g")
     for g, part in rows.dropna().groupby("g"):
-        np.testing.assert_allclose(got.loc[g, "q"], np.quantile(part["x"], [0.1, 0.5, 0.9]))
+        np.testing.assert_allclose(got.loc[g, "q"], np.quantile(part["x"], probs), atol=1e-12)
+    np.testing.assert_allclose(ranking.quantiles(frame, [], "x", probs, accuracy=accuracy).first()["q"], np.quantile(rows["x"].dropna(), probs), atol=1e-12)
+
+
+def test_quantiles_order_a_sliver_of_a_large_group(spark):
+    """A third of all rows is one value, keys may be missing, and what is put in order is a few values a group."""
+    frame = spark.range(60_000).select(F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("g"), F.when(F.col("id") % 3 == 0, 7.0).otherwise(
+        (F.xxhash64("id") % 1_000_000) / 1000.0).alias("v"))
+    pdf = frame.toPandas()
+    got = {r["g"]: r["q"] for r in ranking.quantiles(frame, ["g"], "v", [0.05, 0.5, 0.95]).collect()}
+    for g in (None, 1, 2, 3, 4):
+        own = pdf["v"][pdf["g"].isna() if g is None else pdf["g"] == g]
+        np.testing.assert_allclose(got[g], np.quantile(own, [0.05, 0.5, 0.95]), atol=1e-9)
+    assert ranking.quantiles(frame.where("v is null"), ["g"], "v", [0.5]).count() == 0
 
 
 @pytest.mark.parametrize("limit", [DIRECT, SPLIT])
