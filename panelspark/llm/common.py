@@ -75,18 +75,20 @@ def held_out(modulus: int, value: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, label: str, per_class: int, key: str = "doc_id") -> DataFrame:
-    """At most ``per_class`` rows of each class, in hash order of the key.
+    """At most ``per_class`` rows of each class, in hash order of the key and, where there is one, the text.
 
-    The hash threshold of a class comes from its count, so only about twice the wanted rows
-    are ever sorted, whatever the size of the table.
+    Rows that share a key, or have none, are drawn one by one by their texts; rows equal in both are one draw
+    and give one row. The hash threshold of a class comes from its number of draws, so only about twice the
+    wanted rows are ever sorted, whatever the size of the table, and no class is lost.
     """
-    draw = (F.xxhash64(F.col(key)) + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    mark = F.xxhash64(*[F.col(c) for c in (key, *(["text"] if "text" in df.columns and key != "text" else []))])
+    draw = (mark + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
+    counts = df.groupBy(label).agg(F.approx_count_distinct(mark).alias("_n"))
     share = F.lit(2.0 * per_class + 64) / F.col("_n")
     # one row per class, and the learner holds a machine per class anyway: bounded, and no shuffle by class
-    near = df.join(F.broadcast(counts), label).where(draw < share)
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key)), F.col(key))
-    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_class).drop("_r", "_n")
+    near = df.join(F.broadcast(counts), label).where(draw < share).withColumn("_mark", mark).dropDuplicates([label, "_mark"])
+    order = Window.partitionBy(label).orderBy("_mark", F.col(key))
+    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_class).drop("_r", "_n", "_mark")
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:

@@ -263,13 +263,14 @@ def _best_windows(words: list[str], table: np.ndarray | None, odds: dict[str, fl
 
 
 class WordScores:
-    """Scores of words, each computed once per worker while it fits in the memo."""
+    """Scores of words, each computed once per task while it fits in the memo."""
 
     def __init__(self, model: ToxicityModel, limit: int = 600_000):
         self.model, self.limit = model, limit
         self._clear()
 
     def _clear(self) -> None:
+        """Forget all words: at the end of a task, so that a worker holds nothing of them for the stages after."""
         self.number: dict[bytes, int] = {}
         self.score, self.flag = np.zeros(0), np.zeros(0, dtype=bool)
 
@@ -353,5 +354,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))],
                 names=[key, "score", "predicted"])
+        words._clear()
 
     return docs.select(key, text_bytes().alias("_text")).mapInArrow(score, f"`{key}` {kind}, score double, predicted int")

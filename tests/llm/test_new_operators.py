@@ -252,3 +252,15 @@ def test_schema_types(spark):
     df = spark.createDataFrame([], T.StructType([T.StructField("vec_id", T.ShortType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]))
     assert dict(centroids.cluster_vectors(df).dtypes) == {"vec_id": "smallint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint",
                                                           "inertia": "bigint", "centroid_sha256": "string"}
+
+
+@pytest.mark.parametrize("many", [900, 5000])
+def test_no_class_is_lost_without_ids(spark, many):
+    """Rows without an id, or all with one id, are drawn by their texts; equal rows are one draw."""
+    from panelspark.llm.common import bounded_sample
+    for key in (None, 7):
+        rows = [(key, f"text {i}", "en") for i in range(many)] + [(key, f"texte {i}", "fr") for i in range(500)] + [(key, "gleich", "de")] * 3000
+        found = bounded_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", 200).collect()
+        count = {x: sum(r["lang"] == x for r in found) for x in ("en", "fr", "de")}
+        assert count["en"] == count["fr"] == 200 and count["de"] == 1
+        assert len({(r["lang"], r["text"]) for r in found}) == len(found)

@@ -37,3 +37,15 @@ def test_rows_without_an_id_of_their_own(spark, tmp_path):
     left = pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
     assert sorted((str(r["doc_id"]), (r["text"] or "").split(" ")[0]) for r in left) == sorted(
         [("None", "they"), ("None", "north0"), ("5", "south0"), ("5", "north39"), ("6", "")])
+
+
+def test_columns_named_like_the_pipelines_own(spark):
+    """Extra columns called _row, _text, n or text_ come back as they were; an empty table gives an empty one."""
+    docs = pipeline.documents(spark, FOLDER)
+    more = docs.selectExpr("*", "cast(doc_id * 7 as string) AS _row", "doc_id + 1 AS _row_", "'t' AS _text", "1 AS n", "true AS kept")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, more, FOLDER)
+        assert out.columns == more.columns
+        assert out.where("_row <> cast(doc_id * 7 as string) or _row_ <> doc_id + 1 or _text <> 't' or n <> 1 or not kept").count() == 0
+        assert 0 < out.count() <= more.count()
+        assert stage(spark, more.where("false"), FOLDER).count() == 0, name
