@@ -15,44 +15,49 @@ from panelspark.llm import bpe, compression, jaccard, queries, string_kernel, te
 from panelspark.llm.common import documents, stored
 
 
-def _row_numbered(docs: DataFrame) -> DataFrame:
-    """The rows under a name of their own, which a repeated or missing id is not; fixed by storing them."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def _row_numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows under a name of their own, which a repeated or missing id is not, fixed by storing them; and the
+    column of that name, called as no column of the documents is."""
+    row, taken = "_row", {c.lower() for c in docs.columns}
+    while row in taken:
+        row += "_"
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the string kernel does not predict toxic. It learns from the labels of the tables."""
     model = string_kernel.fit(queries.labelled(spark, folder, docs))
-    rows = _row_numbered(docs)
-    bad = string_kernel.score_toxicity(rows, model, "_row").where("predicted = 1").select("_row")
-    return rows.join(bad, "_row", "left_anti").select(docs.columns)
+    rows, row = _row_numbered(docs)
+    bad = string_kernel.score_toxicity(rows, model, row).where("predicted = 1").select(row)
+    return rows.join(bad, row, "left_anti").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the compression bands keep."""
-    rows = _row_numbered(docs)
-    bad = compression.compression_bands(rows, "_row").where("not kept").select("_row")
-    return rows.join(bad, "_row", "left_anti").select(docs.columns)
+    rows, row = _row_numbered(docs)
+    bad = compression.compression_bands(rows, row).where("not kept").select(row)
+    return rows.join(bad, row, "left_anti").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One row of each group of near copies, the one with the least id (a missing one last); of rows equal in
     that, by a hash of the text, then by row. Texts without words are in no group and stay."""
-    rows = _row_numbered(docs)
-    groups = jaccard.jaccard_components(rows, "_row").where("n_shingles > 0").select("_row", "component_id")
+    rows, row = _row_numbered(docs)
+    groups = jaccard.jaccard_components(rows.select(F.col(row).alias("_row"), "text"), "_row").where("n_shingles > 0").select("_row", "component_id")
     several = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "_row")
-    members = stored(groups.join(several, "component_id", "left_semi").join(rows.select("_row", rank.alias("rank")), "_row"), "members")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), F.col(row).alias("_row"))
+    ranked = rows.select(F.col(row).alias("_row"), rank.alias("rank"))
+    members = stored(groups.join(several, "component_id", "left_semi").join(ranked, "_row"), "members")
     first = members.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank._row")
-    bad = members.select("_row").join(first, "_row", "left_anti")
-    return rows.join(bad, "_row", "left_anti").select(docs.columns)
+    bad = members.select("_row").join(first, "_row", "left_anti").withColumnRenamed("_row", row)
+    return rows.join(bad, row, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold no benchmark item; each row has a verdict of its own."""
-    rows = _row_numbered(docs)
-    found = templates.contaminated(rows, spark.read.parquet(f"{folder}/benchmark.parquet"), "_row").select("_row").distinct()
-    return rows.join(found, "_row", "left_anti").select(docs.columns)
+    rows, row = _row_numbered(docs)
+    found = templates.contaminated(rows, spark.read.parquet(f"{folder}/benchmark.parquet"), row).select(row).distinct()
+    return rows.join(found, row, "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
