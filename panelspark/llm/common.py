@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -12,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 _SHIPPED: set[str] = set()
@@ -91,6 +94,36 @@ def bounded_sample(df: DataFrame, label: str, per_class: int, key: str = "doc_id
     return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_class).drop("_r", "_n", "_mark")
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The Arrow type of a column, of any type a key may have."""
+    return to_arrow_type(df.schema[column].dataType)
+
+
+class Tidied:
+    """A function over batches that gives freed memory back to the system when a task ends.
+
+    Workers live on from stage to stage; what allocators keep of an earlier stage would count against a later one.
+    """
+
+    def __init__(self, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+        self.function = function
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from self.function(batches)
+        finally:
+            release_memory()
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of a binary column of about ``limit`` bytes: (first row, values)."""
     lengths = pc.binary_length(batch.column(column)).to_pylist()

@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from panelspark.llm.common import ship, text_bytes
+from panelspark.llm.common import Tidied, ship, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -123,4 +123,4 @@ def compression_bands(docs: DataFrame, key: str = "doc_id", bands: Bands = Bands
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, types))],
                                              names=[key, *names])
 
-    return docs.select(key, text_bytes().alias("_text")).mapInArrow(judge, f"`{key}` {kind}, {RESULT}")
+    return docs.select(key, text_bytes().alias("_text")).mapInArrow(Tidied(judge), f"`{key}` {kind}, {RESULT}")

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ship, stored, text_bytes
+from panelspark.llm.common import arrow_type, ship, stored, text_bytes
 
 HEAD, CLASS_SIZE, TAILS, HIDDEN, WINDOW, STREAMS = 1024, 64, 16, 12, 20, 512
 END = b"\n"  # no word has white space in it
@@ -336,7 +336,6 @@ def numbered(docs: DataFrame, shared: Broadcast, tag: str, key: str) -> DataFram
 
     ``rest`` is what a model's class leaves open: a tail word's share of its class, in log10."""
     kind = dict(docs.dtypes)[key]
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from panelspark.llm import gated_lm as lm

@@ -12,7 +12,8 @@ Segments hash to the sum of their elements' hashes, so a deletion is a subtracti
 
 Groups of copies never produce all pairs. Equal sets are one node. In a bucket every member meets the
 eight least nodes; after their components are known, only members of different components
-of a bucket are compared, all whose sizes and parity sketches allow a link. Links inside a component change nothing.
+of a bucket are compared. Links inside a component change nothing. No text is fetched for a pair
+whose sizes or parity sketches rule a link out.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ship, stored, text_bytes
+from panelspark.llm.common import Tidied, arrow_type, ship, slices, stored, text_bytes
 from panelspark.llm.components import components
 
 WIDTH, LEADERS, HOT_BITS, HOT_SHARE, BLOCK = 5, 8, 20, 1 << 14, 4096
@@ -141,31 +142,33 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def read_sets(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(key, n_shingles, node) of every row, and (bucket, n): frequent buckets of shingle hashes."""
-    kind = dict(docs.dtypes)[key]
+    """(key, n_shingles, node, sketch) of every row, and (bucket, n): frequent buckets of shingle hashes."""
+    kind, key_type = dict(docs.dtypes)[key], arrow_type(docs, key)
+    names = [key, "n_shingles", "node", "sketch", "bucket"]
     ship(docs.sparkSession)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = np.zeros(1 << HOT_BITS, dtype=np.int64), 0
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, bits = [], [], []
             for value in batch.column(1):
                 s = shingles(value.as_py())
                 sizes.append(len(s))
                 nodes.append(set_id(s))
+                bits.append(sketch(s) if len(s) else None)
                 np.add.at(seen, (s & np.uint64((1 << HOT_BITS) - 1)).astype(np.int64), 1)
                 total += len(s)
             none = pa.nulls(len(sizes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), none],
-                                             names=[key, "n_shingles", "node", "bucket"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
+                                              pa.array(bits, pa.binary()), none], names=names)
         # shares of the task's shingles, so at most 2 * HOT_SHARE rows whatever the task read
         hot = np.flatnonzero(seen >= max(2, total // (2 * HOT_SHARE)))
         hot = hot[np.argsort(-seen[hot], kind="stable")][:2 * HOT_SHARE]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), batch_type), pa.array(seen[hot]), pa.nulls(len(hot), pa.int64()), pa.array(hot)],
-                                         names=[key, "n_shingles", "node", "bucket"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), key_type), pa.array(seen[hot]), pa.nulls(len(hot), pa.int64()),
+                                          pa.nulls(len(hot), pa.binary()), pa.array(hot)], names=names)
 
-    batch_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    rows = docs.select(key, text_bytes().alias("_text")).mapInArrow(measure, f"`{key}` {kind}, n_shingles long, node long, bucket long")
+    rows = docs.select(key, text_bytes().alias("_text")).mapInArrow(
+        Tidied(measure), f"`{key}` {kind}, n_shingles long, node long, sketch binary, bucket long")
     rows = stored(rows, "sets")
     return (rows.where("bucket is null").drop("bucket"),
             rows.where("bucket is not null").groupBy("bucket").agg(F.sum("n_shingles").alias("n")))
@@ -212,7 +215,7 @@ def bucket_rows(docs: DataFrame, cost: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)),
                                            pa.array(np.concatenate(probes))], names=["key", "node", "probe"])
 
-    return docs.select(text_bytes().alias("_text")).mapInArrow(sign, "key long, node long, probe boolean")
+    return docs.select(text_bytes().alias("_text")).mapInArrow(Tidied(sign), "key long, node long, probe boolean")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[bool, bool, list[np.ndarray]]]:
@@ -296,7 +299,7 @@ def first_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield flush()
 
     sorted_rows = rows.repartition(F.col("key")).sortWithinPartitions("key", "node").select("key", "node", "probe")
-    found = stored(sorted_rows.mapInArrow(meet, "a long, b long, key long, probe boolean, open boolean"), "buckets")
+    found = stored(sorted_rows.mapInArrow(Tidied(meet), "a long, b long, key long, probe boolean, open boolean"), "buckets")
     pairs = found.where("not open").select("a", "b").distinct()
     return pairs, found.where("open").select("key", F.col("a").alias("node"), "probe")
 
@@ -312,7 +315,7 @@ def in_blocks(rows: DataFrame, block: int) -> DataFrame:
     return held.unionByName(asking).select(F.xxhash64("key", "block").alias("place"), "asks", *columns)
 
 
-def second_pairs(open_rows: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
+def second_pairs(open_rows: DataFrame, parts: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs of one bucket that are in different components: all whose sizes and sketches allow a link.
 
     A task holds one block of a bucket while the bucket's probing rows pass by; rows that do not probe
@@ -321,7 +324,7 @@ def second_pairs(open_rows: DataFrame, parts: DataFrame, texts: DataFrame) -> Da
     rows = open_rows.join(parts, "node", "left").select("key", "node", "probe", F.coalesce("component", "node").alias("component"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("probe").alias("p"),
                                     F.count(F.lit(1)).alias("size")).where("x <> y and p").select("key", "size")
-    rows = rows.join(mixed, "key").join(texts.select("node", "n", "sketch"), "node")
+    rows = rows.join(mixed, "key").join(sketches.select("node", "n", "sketch"), "node")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -349,20 +352,37 @@ def second_pairs(open_rows: DataFrame, parts: DataFrame, texts: DataFrame) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
     placed = in_blocks(rows, BLOCK).repartition(F.col("place")).sortWithinPartitions("place", "asks", "node")
-    return placed.select("place", "asks", "node", "component", "n", "sketch").mapInArrow(meet, "a long, b long").where("a <> b").distinct()
+    return placed.select("place", "asks", "node", "component", "n", "sketch").mapInArrow(Tidied(meet), "a long, b long").where("a <> b").distinct()
+
+
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    left, right = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            s, t = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(-1, 8) for i in (4, 5))
+            apart = np.bitwise_count(s ^ t).sum(axis=1, dtype=np.int64)
+            good = pa.array((100 * np.minimum(m, n) >= 80 * np.maximum(m, n)) & (9 * apart <= m + n))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
+    return rows.mapInArrow(Tidied(near), "a long, b long")
 
 
 def texts_of(docs: DataFrame, key: str, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, size, sketch, packed text) of the given nodes, one document each.
+    """(node, packed text) of the given nodes, one document each.
 
-    A bitmap of 2^22 bits over hashed ids drops most other documents before their texts are
-    shuffled; its size is fixed, and what it lets through the join removes.
+    A bitmap over hashed ids, 16 bits an id up to 32 MB, drops most other documents before their
+    texts are shuffled; what it lets through the join removes.
     """
     spark = ship(docs.sparkSession)
     chosen = stored(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(key).alias(key)), "chosen")
-    spot = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 22))
+    width = min(1 << 28, max(1 << 22, 1 << (16 * chosen.count()).bit_length()))
+    spot = F.pmod(F.xxhash64(F.col(key)), F.lit(width))
     word = chosen.select(spot.alias("spot")).selectExpr("cast(spot div 32 as int) AS w", "shiftleft(1L, cast(spot % 32 as int)) AS bit")
-    bits = np.zeros(1 << 17, dtype=np.int64)
+    bits = np.zeros(width // 32, dtype=np.uint32)
     for r in word.groupBy("w").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         bits[r["w"]] = r["bits"]
     shared, kind = spark.sparkContext.broadcast(bits), dict(docs.dtypes)[key]
@@ -371,26 +391,25 @@ def texts_of(docs: DataFrame, key: str, sets: DataFrame, nodes: DataFrame) -> Da
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             place = batch.column(2).to_numpy()
-            hit = np.flatnonzero(shared.value[place >> 5] >> (place & 31) & 1)
-            texts = batch.column(1).take(pa.array(hit)).to_pylist()
-            sets = [shingles(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(hit)), pa.array(map(set_id, sets), pa.int64()), pa.array(map(len, sets), pa.int64()),
-                 pa.array(map(sketch, sets), pa.binary()), pa.array(map(press.compress, texts), pa.binary())],
-                names=[key, "node", "n", "sketch", "packed"])
+            hit = np.flatnonzero(shared.value[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1))
+            found = pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(hit)) for i in (0, 1)], names=[key, "text"])
+            for first, texts in slices(found, 1):
+                yield pa.RecordBatch.from_arrays(
+                    [found.column(0).slice(first, len(texts)), pa.array((set_id(shingles(t)) for t in texts), pa.int64()),
+                     pa.array(map(press.compress, texts), pa.binary())], names=[key, "node", "packed"])
 
     rows = docs.where(F.col(key).isNotNull()).select(key, text_bytes().alias("_text"), spot.alias("_spot"))
-    rows = rows.mapInArrow(pick, f"`{key}` {kind}, node long, n long, sketch binary, packed binary").dropDuplicates([key, "node"])
-    return stored(rows.join(chosen, [key, "node"]).select("node", "n", "sketch", "packed"), "texts")
+    rows = rows.mapInArrow(Tidied(pick), f"`{key}` {kind}, node long, packed binary").dropDuplicates([key, "node"])
+    return stored(rows.join(chosen, [key, "node"]).select("node", "packed"), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose sets link. Each pair carries one text; the other stands before the pairs of its node.
 
-    A node with very many pairs is cut into stretches of pairs, each behind its own copy of the text.
+    A node with very many pairs is cut into stretches of about 256 pairs, each behind its own copy of the text.
     """
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16)))
-    texts = texts.select("node", "packed")
+    many = pairs.groupBy("a").agg(F.expr("(count(1) + 255) div 256").alias("cuts")).where("cuts > 1")
+    salted = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("cuts", F.lit(1))).alias("salt"))
     right = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "packed")
     left = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a")
     rows = right.unionByName(left.select("a", "salt", F.lit(None).cast("long").alias("b"), "packed"))
@@ -411,7 +430,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         good.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], names=["a", "b"])
 
-    return stored(rows.select("a", "b", "packed").mapInArrow(compare, "a long, b long"), "links")
+    return stored(rows.select("a", "b", "packed").mapInArrow(Tidied(compare), "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -425,12 +444,16 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = bucket_rows(docs.where(F.col(key).isNotNull()), hot_costs(hot, total))
     pairs, open_rows = first_pairs(buckets)
-    pairs = stored(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(open_rows.select("node")).distinct()
-    texts = texts_of(docs, key, rows.where(F.col(key).isNotNull()), nodes)
-    links = verified(pairs, texts)
-    parts = components(links)
-    more = verified(stored(second_pairs(open_rows, parts, texts), "pairs"), texts)
+    keyed = rows.where(F.col(key).isNotNull())
+    sketches = stored(keyed.where("n_shingles > 3").dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("n"), "sketch"), "sketches")
+
+    def linked(found: DataFrame) -> DataFrame:
+        found = stored(found, "pairs")
+        nodes = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+        return verified(found, texts_of(docs, key, keyed, nodes))
+
+    parts = components(linked(possible(pairs, sketches)))
+    more = linked(second_pairs(open_rows, parts, sketches))
     parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = rows.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("least"))
     placed = named.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))

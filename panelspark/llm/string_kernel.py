@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import bounded_sample, ship, text_bytes
+from panelspark.llm.common import Tidied, bounded_sample, ship, text_bytes
 from panelspark.llm.svm import logistic_scale, newton_svm
 
 SHORTEST, WINDOW, LAMBDA, SENTENCE = 4, 7, 0.7, 12
@@ -356,4 +356,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", t
                 names=[key, "score", "predicted"])
         words._clear()
 
-    return docs.select(key, text_bytes().alias("_text")).mapInArrow(score, f"`{key}` {kind}, score double, predicted int")
+    return docs.select(key, text_bytes().alias("_text")).mapInArrow(Tidied(score), f"`{key}` {kind}, score double, predicted int")

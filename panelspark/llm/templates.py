@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ship, stored, text_bytes
+from panelspark.llm.common import Tidied, arrow_type, ship, stored, text_bytes
 
 _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(?:st|nd|rd|th|%)?")
 _NUMBER_WORDS = frozenset(("one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred "
@@ -172,7 +172,7 @@ def windows(rows: DataFrame, key: str, rule: Rule, bits: np.ndarray | None, widt
     """
     kind_of_key = dict(rows.dtypes)[key]
     shared = ship(rows.sparkSession).sparkContext.broadcast(bits)
-    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    key_type = arrow_type(rows, key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from panelspark.llm.templates import worker_canonical
@@ -202,12 +202,12 @@ def windows(rows: DataFrame, key: str, rule: Rule, bits: np.ndarray | None, widt
                             once.add((x, *slots))
                         for column, v in zip(out, (k, row, n, width, x, p, slots)):
                             column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], types[kind_of_key]), *(pa.array(c, pa.int64()) for c in out[1:6]),
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], key_type), *(pa.array(c, pa.int64()) for c in out[1:6]),
                                               pa.array(out[6], pa.list_(pa.int64()))],
                                              names=[key, "row", "windows", "width", "hash", "place", "slots"])
 
     return rows.select(key, text_bytes().alias("_text")).mapInArrow(
-        cut, f"`{key}` {kind_of_key}, row long, windows long, width long, hash long, place long, slots array<long>")
+        Tidied(cut), f"`{key}` {kind_of_key}, row long, windows long, width long, hash long, place long, slots array<long>")
 
 
 def consistent(matched: DataFrame, rule: Rule) -> DataFrame:

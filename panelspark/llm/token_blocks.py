@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ChunkMemo, library_tokenizer, new_path, ship, slices, stored, text_bytes
+from panelspark.llm.common import ChunkMemo, arrow_type, library_tokenizer, new_path, ship, slices, stored, text_bytes
 
 LANES, CHECKPOINT, BLOCK_TOKENS = 512, 256, 1 << 18
 _LOW = np.uint64(1 << 31)
@@ -235,7 +235,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", end: int
         if held:
             yield row()
 
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    key_type = arrow_type(docs, key)
     parts = int(max(1, -(-int(counts.sum()) // part_tokens)))
     ordered = rows.select(key, "tie", "ids").repartitionByRange(parts, F.col(key).asc_nulls_first(), F.col("tie"))
     ordered = ordered.sortWithinPartitions(F.col(key).asc_nulls_first(), "tie").select(key, "ids")
