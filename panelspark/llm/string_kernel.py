@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Tidied, bounded_sample, ship, text_bytes
+from panelspark.llm.common import Tidied, bounded_sample, release_memory, ship, text_bytes
 from panelspark.llm.svm import logistic_scale, newton_svm
 
 SHORTEST, WINDOW, LAMBDA, SENTENCE = 4, 7, 0.7, 12
@@ -187,18 +187,24 @@ def fit(labelled: DataFrame, key: str = "doc_id", per_class: int = 1500, most_by
     able = labelled.where(F.col("toxic").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
     got = bounded_sample(able.select(key, "toxic", "text"), "toxic", per_class, key).select("toxic", "text").collect()
     got = sorted((int(r[0]), r[1]) for r in got)
-    return fit_texts([t for _, t in got], [y for y, _ in got], marks, rounds, most_windows)
+    release_memory()
+    model = fit_texts([t for _, t in got], [y for y, _ in got], marks, rounds, most_windows)
+    del got
+    release_memory()
+    return model
 
 
 def fit_texts(texts: list[str], toxic: list[int], marks: int = 128, rounds: int = 5, most_windows: int = 6_000) -> ToxicityModel:
-    bags = [(y, w) for y, t in zip(toxic, texts) if (w := sorted({x for s in sentences(t) for x in s if len(x) >= 3}))]
+    same: dict[str, str] = {}  # a word or stem is one object, however often it occurs: the driver is small
+    bags = [(y, w) for y, t in zip(toxic, texts) if (w := sorted({same.setdefault(x, x) for s in sentences(t) for x in s if len(x) >= 3}))]
     label = np.array([y for y, _ in bags])
     if not bags or label.min() == label.max():
         rate = sum(toxic) / len(toxic) if toxic else 0.0
         return ToxicityModel(np.zeros(1 << 15), 0.0, 1.0, float(np.log((rate + 1e-3) / (1 - rate + 1e-3))), rate)
     vocabulary = sorted({w for _, words in bags for w in words})
     number = {w: i for i, w in enumerate(vocabulary)}
-    parts = [stems(w) or {w} for w in vocabulary]
+    parts = [{same.setdefault(s, s) for s in stems(w)} or {w} for w in vocabulary]
+    del same
     seen = [Counter(), Counter()]
     for y, words in bags:
         seen[y].update(set().union(*(parts[number[w]] for w in words)))
@@ -226,7 +232,8 @@ def fit_texts(texts: list[str], toxic: list[int], marks: int = 128, rounds: int
     values, vectors = np.linalg.eigh(rows_of(landmarks, table) + 1e-4 * np.eye(len(landmarks)))
     root = (vectors / np.sqrt(np.maximum(values, 1e-4))) @ vectors.T
     score = np.array([max((odds.get(s, -1.0) for s in p), default=-1.0) for p in parts])  # of words, before any training
-    del parts, seen  # the driver is small
+    del parts, seen
+    release_memory()
     bad = np.random.default_rng(3).permutation(np.flatnonzero(clean_words))[:most_windows // 2]
     w, b = np.zeros(len(landmarks)), -1.0
     for turn in range(rounds):
