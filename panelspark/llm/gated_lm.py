@@ -5,9 +5,10 @@ other words are in tail classes by their shape, and inside a tail class a word h
 corpus share: P(word) = P(class | state) * P(word | class[, state]). One unit (gated, ``HIDDEN`` wide)
 reads the words; a document starts from the zero state and keeps its state to its end, window after
 window. Training is truncated backpropagation over windows, one pass over all training documents in
-``rounds`` parts by a hash of the id: in each round every task trains from the shared weights on its
-documents, and the weights are averaged by the tasks' tokens. Texts are read twice, for the counts and
-for their numbers; training and scoring read the stored numbers, two bytes a token.
+``rounds`` parts by a hash of the row: in each round every lane of documents trains from the shared weights,
+and the weights are averaged by the lanes' tokens. Lanes and their order come from hashes too, not from the
+layout of the input. Texts are read twice, for the counts and for their numbers; training and scoring read
+the stored numbers, two bytes a token.
 """
 
 from __future__ import annotations
@@ -20,14 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ship, stored, text_bytes
+from panelspark.llm.common import arrow_type, ship, slices, stored, text_bytes
 
 HEAD, CLASS_SIZE, TAILS, HIDDEN, WINDOW, STREAMS = 1024, 64, 16, 12, 20, 512
 END = b"\n"  # no word has white space in it
+SLICES = 16  # of the weights, when lanes are summed
 HEAVY = 1 << 20  # a word with over 1 / HEAVY of all tokens is heavy; there are fewer than HEAVY
 
 
@@ -326,16 +329,22 @@ def worker_reader(tag: str, shared: Broadcast) -> Reader:
     return _WORKER[tag]
 
 
-ROW_COLUMNS = ("`{key}` {kind}, train boolean, part int, n_tokens long, n_known long, base_score double, rest double, "
-               "rare array<binary>, times array<long>, ids binary")
+ROW_COLUMNS = ("`{key}` {kind}, train boolean, n_tokens long, n_known long, base_score double, rest double, "
+               "block long, light binary, times binary, words binary, ids binary")
 
 
-def numbered(docs: DataFrame, shared: Broadcast, tag: str, key: str) -> DataFrame:
-    """Per row, stored under a row name: the model ids of its tokens, and what the lexicon alone gives: sums
-    over heavy words, and the distinct other words with how often they occur.
+def word_hash(word: bytes) -> int:
+    """What ``F.xxhash64`` gives for the word, unsigned."""
+    return xxhash.xxh64_intdigest(word, 42)
 
-    ``rest`` is what a model's class leaves open: a tail word's share of its class, in log10."""
-    kind = dict(docs.dtypes)[key]
+
+def numbered(docs: DataFrame, shared: Broadcast, tag: str, key: str, block_bytes: int = 1 << 24) -> DataFrame:
+    """Per row, stored: the model ids of its tokens, and what the lexicon alone gives as sums over heavy words.
+
+    Rows stand in blocks of about ``block_bytes`` of text. The distinct other words of a block are its dictionary,
+    sorted hashes in ``words`` of its first row; a row has its words' places in it (``light``) and how often each
+    occurs (``times``). ``rest`` is what a model's class leaves open: a tail word's share of its class, in log10."""
+    kind, key_type = dict(docs.dtypes)[key], arrow_type(docs, key)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from panelspark.llm import gated_lm as lm
@@ -347,27 +356,34 @@ def numbered(docs: DataFrame, shared: Broadcast, tag: str, key: str) -> DataFram
         rest = np.concatenate([np.zeros(lex.head), np.log10(lex.counts[lex.head:] + 1.0), np.zeros(lm.TAILS)])
         late = np.flatnonzero(reader.model >= lm.HEAD)
         rest[late] -= room[reader.model[late] - lm.HEAD]
+        block = TaskContext.get().partitionId() << 33
         for batch in batches:
-            count, known, base_sum, rest_sum, rare, times, packed = [], [], [], [], [], [], []
-            for value in batch.column(3):
-                words = [*value.as_py().lower().split(), lm.END]
-                n = reader.ids(words)
-                light = Counter(words[i] for i in np.flatnonzero(n < 0).tolist())
-                heavy = n[n >= 0]
-                count.append(len(n))
-                known.append(len(heavy))
-                base_sum.append(float(base[heavy].sum()))
-                rest_sum.append(float(rest[n].sum()))
-                rare.append(list(light))
-                times.append(list(light.values()))
-                packed.append(reader.model_ids(n).astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(count, pa.int64()), pa.array(known, pa.int64()), pa.array(base_sum, pa.float64()),
-                 pa.array(rest_sum, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
-                names=[key, "train", "part", "n_tokens", "n_known", "base_score", "rest", "rare", "times", "ids"])
-
-    rows = docs.select(key, "train", "part", text_bytes().alias("_text")).mapInArrow(number, ROW_COLUMNS.format(key=key, kind=kind))
-    return stored(rows.withColumn("_row", F.expr("uuid()")), "lm-rows")
+            for first, texts in slices(batch, 2, block_bytes):
+                count, known, base_sum, rest_sum, packed, rows = [], [], [], [], [], []
+                place: dict[bytes, int] = {}
+                for value in texts:
+                    words = [*value.lower().split(), lm.END]
+                    n = reader.ids(words)
+                    light = Counter(words[i] for i in np.flatnonzero(n < 0).tolist())
+                    heavy = n[n >= 0]
+                    count.append(len(n))
+                    known.append(len(heavy))
+                    base_sum.append(float(base[heavy].sum()))
+                    rest_sum.append(float(rest[n].sum()))
+                    rows.append((np.array([place.setdefault(w, len(place)) for w in light], np.int64), np.array(list(light.values()), "<u4")))
+                    packed.append(reader.model_ids(n).astype("<i2").tobytes())
+                hashes, where = np.unique(np.fromiter(map(lm.word_hash, place), np.uint64, len(place)), return_inverse=True)
+                own = [batch.column(i).slice(first, len(texts)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [own[0].cast(key_type), own[1], pa.array(count, pa.int64()), pa.array(known, pa.int64()), pa.array(base_sum, pa.float64()),
+                     pa.array(rest_sum, pa.float64()), pa.array([block] * len(texts), pa.int64()),
+                     pa.array([where[i].astype("<u4").tobytes() for i, _ in rows], pa.binary()), pa.array([t.tobytes() for _, t in rows], pa.binary()),
+                     pa.array([hashes.astype("<u8").tobytes()] + [None] * (len(texts) - 1), pa.binary()), pa.array(packed, pa.binary())],
+                    names=[key, "train", "n_tokens", "n_known", "base_score", "rest", "block", "light", "times", "words", "ids"])
+                block += 1
+
+    rows = docs.select(key, "train", text_bytes().alias("_text")).mapInArrow(number, ROW_COLUMNS.format(key=key, kind=kind))
+    return stored(rows, "lm-rows")
 
 
 def id_runs(batches: Iterator[pa.RecordBatch], limit: int = 1 << 23) -> Iterator[tuple[list[np.ndarray], pa.Table]]:
@@ -390,43 +406,142 @@ def end_id(lex: Lexicon) -> int:
     return lex.words.index(END) if END in lex.words[:lex.head] else HEAD + tail_class(END)
 
 
-def train_round(rows: DataFrame, end: int, flat: np.ndarray, classes: int, rate: float) -> np.ndarray:
-    """Weights after one part of the documents: tasks train from the same start; the average by tokens.
+def lane_runs(batches: Iterator[pa.RecordBatch], limit: int = 1 << 22) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(lane, model ids of a run of its rows): rows come sorted by lane, each repeated ``times`` times. A run ends
+    with the row that fills it, so that it does not depend on how rows are batched."""
+    texts, size, current = [], 0, None
+    for batch in batches:
+        for lane, times, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if texts and lane != current:
+                yield current, texts
+                texts, size = [], 0
+            current, text = lane, np.frombuffer(value.as_py(), dtype="<i2")
+            for _ in range(times):
+                texts.append(text)
+                size += len(text)
+                if size > limit:
+                    yield current, texts
+                    texts, size = [], 0
+    if texts:
+        yield current, texts
+
+
+def training_lanes(rows: DataFrame, lanes: int, key: str, rounds: int, r: int) -> DataFrame:
+    """(lane, times, ids) of one part of the training rows, a lane whole and in hash order inside one partition.
+
+    Part, lane and order come from a hash of the row's key and ids alone. Equal rows are counted first and
+    dealt out evenly over the lanes."""
+    mark = F.xxhash64(F.lit(17), F.col(key), F.col("ids"))
+    part = rows.where(F.col("train") & (F.pmod(mark, F.lit(rounds)) == r)).groupBy(key, "ids").agg(F.count(F.lit(1)).alias("n"))
+    part = part.select("ids", "n", mark.alias("mark"), F.explode(F.sequence(F.lit(0), F.least("n", F.lit(lanes)).cast("int") - 1)).alias("i"))
+    lane = F.pmod(F.shiftright("mark", 20) + F.col("i"), F.lit(lanes)).cast("int")
+    times = (F.floor(F.col("n") / lanes) + (F.col("i") < F.col("n") % lanes).cast("long")).cast("int")
+    dealt = part.select(lane.alias("lane"), times.alias("times"), "ids", "mark")
+    return dealt.repartitionById(lanes, F.col("lane")).sortWithinPartitions("lane", "mark", "ids").select("lane", "times", "ids")
+
+
+def summed(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of the vectors (slice, v) and of the tokens of each group."""
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(len(table["v"][0].as_py()) // 8, np.int64)
+        for v in table["v"]:
+            total += np.frombuffer(v.as_py(), "<i8")
+        tokens = int(np.sum(table["tokens"].to_numpy()))
+        return pa.table({"slice": table["slice"][:1], "band": table["band"][:1], "v": pa.array([total.tobytes()], pa.binary()),
+                         "tokens": pa.array([tokens], pa.int64())})
 
-    Sums are of whole numbers (weights times 2^20 times tokens), so they do not depend on the order of tasks."""
-    start = rows.sparkSession.sparkContext.broadcast(flat)
+    return parts.groupBy(*by).applyInArrow(add, "slice int, band int, v binary, tokens long")
+
+
+def train_round(dealt: DataFrame, end: int, flat: np.ndarray, classes: int, rate: float) -> np.ndarray:
+    """Weights after one part of the documents: lanes train from the same start; the average by tokens.
+
+    Sums are of whole numbers (weights times 2^20, by thousands of tokens), so they do not depend on the order of
+    lanes. A lane gives its vector in slices, and 512 lanes are summed at a time before all are."""
+    start = dealt.sparkSession.sparkContext.broadcast(flat)
+    step = -(-len(flat) // SLICES)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from panelspark.llm import gated_lm as lm
-        w = lm.Weights(start.value.copy(), classes)
-        net, power, tokens = lm.Network(w), np.full(len(w.flat), 1e-6, np.float32), 0
-        for texts, _ in lm.id_runs(batches):
+
+        def rows() -> pa.RecordBatch:
+            weight = -(-tokens // 1024)
+            moved = np.rint((w.flat - start.value).astype(np.float64) * (1 << 20)).astype("<i8") * weight
+            return pa.RecordBatch.from_arrays(
+                [pa.array(range(lm.SLICES), pa.int32()), pa.array([lane // 512] * lm.SLICES, pa.int32()),
+                 pa.array([moved[i * step:(i + 1) * step].tobytes() for i in range(lm.SLICES)], pa.binary()), pa.array([weight] * lm.SLICES, pa.int64())],
+                names=["slice", "band", "v", "tokens"])
+
+        lane = None
+        for found, texts in lm.lane_runs(batches):
+            if found != lane:
+                if lane is not None:
+                    yield rows()
+                w = lm.Weights(start.value.copy(), classes)
+                net, power, tokens, lane = lm.Network(w), np.full(len(w.flat), 1e-6, np.float32), 0, found
             tokens += sum(map(len, texts))
             for _, _, _, kept in lm._run(net, texts, end):
                 g = net.gradient(kept)
                 np.clip(g, -0.5, 0.5, out=g)
                 power += g * g
                 w.flat -= rate * g / np.sqrt(power)
-        if tokens:
-            moved = np.rint((w.flat - start.value).astype(np.float64) * (1 << 20)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(moved), dtype=np.int32)), pa.array(moved), pa.array(np.full(len(moved), tokens))],
-                                             names=["i", "v", "tokens"])
+        if lane is not None:
+            yield rows()
 
-    moved = rows.select("ids").mapInArrow(train, "i int, v long, tokens long")
-    sums = moved.groupBy("i").agg((F.sum(F.col("v").cast("decimal(20,0)") * F.col("tokens")) / F.sum("tokens")).cast("double").alias("v"))
+    moved = dealt.mapInArrow(train, "slice int, band int, v binary, tokens long")
     out = flat.copy()
-    for r in sums.toLocalIterator():  # one number per weight
-        out[r["i"]] += np.float32(r["v"] / (1 << 20))
+    for r in summed(summed(moved, ["slice", "band"]), ["slice"]).collect():  # SLICES rows
+        at = r["slice"] * step
+        v = np.frombuffer(r["v"], "<i8")
+        out[at:at + len(v)] += (v / r["tokens"] / (1 << 20)).astype(np.float32)
     return out
 
 
+def light_counts(rows: DataFrame, counts: DataFrame, tokens: int, bucket_words: int = 1 << 22) -> DataFrame:
+    """(block, bucket, counts): the training counts of each block's dictionary, in its order.
+
+    Dictionaries are cut at bucket borders of the hash; a bucket holds about ``bucket_words`` words of all blocks.
+    A light word is in a block's dictionary once and has at most a HEAVY-th of the tokens, so no bucket is hot."""
+    size = rows.where(F.col("words").isNotNull()).agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    buckets = max(64, -(-size // 8 // bucket_words))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = np.frombuffer(value.as_py(), "<u8")
+                at = ((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                first = np.flatnonzero(np.diff(at, prepend=np.uint64(buckets))) if len(at) else []
+                edge = [*first, len(words)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(first), pa.int64()), pa.array(at[first].astype(np.int64) if len(at) else [], pa.int64()),
+                     pa.array([words[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())], names=["block", "bucket", "words"])
+
+    def answer(asked: pa.Table, light: pa.Table) -> pa.Table:
+        hashes, n = light["h"].to_numpy().view(np.uint64), light["n"].to_numpy()
+        order = np.argsort(hashes)
+        hashes, n = np.append(hashes[order], np.uint64(0)), np.append(n[order], 0)
+        found = []
+        for value in asked["words"]:
+            words = np.frombuffer(value.as_py(), "<u8")
+            at = np.searchsorted(hashes[:-1], words)
+            found.append(np.where(hashes[at] == words, n[at], 0).astype("<u4").tobytes())
+        return pa.table({"block": asked["block"], "bucket": asked["bucket"], "counts": pa.array(found, pa.binary())})
+
+    asked = rows.where(F.col("words").isNotNull()).select("block", "words").mapInArrow(cut, "block long, bucket long, words binary")
+    h = F.xxhash64("word")
+    light = counts.where(F.col("n") * HEAVY <= tokens).select(h.alias("h"), "n").withColumn(
+        "bucket", F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * F.lit(buckets).cast("long"), 32))
+    return asked.groupBy("bucket").cogroup(light.groupBy("bucket")).applyInArrow(answer, "block long, bucket long, counts binary")
+
+
 def score_rows(rows: DataFrame, counts: DataFrame, lex: Lexicon, flat: np.ndarray, key: str) -> DataFrame:
     """Per numbered row: key, n_tokens, n_known, base_score and score (log10).
 
-    Words that are not heavy are joined to their counts: no such word has more than a HEAVY-th of the
-    tokens, so no join key is hot.
+    Words that are not heavy get their counts by block: the block's dictionary goes to the counts and back, and
+    meets its rows again in one group of bounded size.
     """
     weights, end, classes = rows.sparkSession.sparkContext.broadcast(flat), end_id(lex), lex.classes
+    lost, kind, key_type = float(np.log10(lex.tokens + lex.distinct + 1.0)), dict(rows.dtypes)[key], arrow_type(rows, key)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from panelspark.llm import gated_lm as lm
@@ -437,36 +552,45 @@ def score_rows(rows: DataFrame, counts: DataFrame, lex: Lexicon, flat: np.ndarra
                 model[group] += np.where(goal >= 0, value, 0.0).sum(0) / np.log(10.0)
             yield from other.append_column("model", pa.array(model)).combine_chunks().to_batches()
 
-    light_tokens = F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)
-    lost = light_tokens * float(np.log10(lex.tokens + lex.distinct + 1.0))
-    kind = dict(rows.dtypes)[key]
-    scored = rows.select("ids", "_row", key, "n_tokens", "n_known", "base_score", "rest", lost.alias("lost")).mapInArrow(
-        score, f"_row string, `{key}` {kind}, n_tokens long, n_known long, base_score double, rest double, lost double, model double")
-    light = counts.where(F.col("n") * HEAVY <= lex.tokens)
-    pairs = rows.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("p")).select("_row", F.col("p.rare").alias("word"), F.col("p.times").alias("t"))
-    # what a word adds: log10(c + 1) to both scores; the denominators are in the row's own part or below
-    gain = pairs.join(light, "word").groupBy("_row").agg(F.sum("t").alias("known"), F.sum(F.col("t") * F.log10(F.col("n") + 1.0)).alias("gain"))
-    more = F.coalesce("gain", F.lit(0.0))
-    return scored.join(gain, "_row", "left").select(
-        key, "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        (F.col("base_score") - F.col("lost") + more).alias("base_score"), (F.col("model") + F.col("rest") + more).alias("score"))
-
-
-def language_model(docs: DataFrame, held, key: str = "doc_id", rounds: int = 3, rate: float = 0.05) -> DataFrame:
+    def gain(own: pa.Table, answers: pa.Table) -> pa.Table:
+        """What a light word adds: log10(c + 1) to both scores; the denominators are in the row's own part or lost."""
+        found = [v.as_py() for v in answers.sort_by("bucket")["counts"]]
+        n = np.frombuffer(b"".join(found), "<u4").astype(np.float64)
+        logs = np.log10(n + 1.0)
+        known, more = [], []
+        for light, times in zip(own["light"], own["times"]):
+            at, t = np.frombuffer(light.as_py(), "<u4"), np.frombuffer(times.as_py(), "<u4")
+            known.append(int(t[n[at] > 0].sum()))
+            more.append(float((t * logs[at]).sum()))
+        total, heavy, more = own["n_tokens"].to_numpy(), own["n_known"].to_numpy(), np.array(more)
+        return pa.table({key: own[key].cast(key_type), "n_tokens": total, "n_known": heavy + np.array(known, np.int64),
+                         "base_score": own["base_score"].to_numpy() - (total - heavy) * lost + more,
+                         "score": own["model"].to_numpy() + own["rest"].to_numpy() + more})
+
+    fields = f"block long, `{key}` {kind}, n_tokens long, n_known long, base_score double, rest double, light binary, times binary"
+    scored = rows.select("ids", "block", key, "n_tokens", "n_known", "base_score", "rest", "light", "times").mapInArrow(score, fields + ", model double")
+    answers = light_counts(rows, counts, lex.tokens)
+    return scored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        gain, f"`{key}` {kind}, n_tokens long, n_known long, base_score double, score double")
+
+
+def language_model(docs: DataFrame, held, key: str = "doc_id", rounds: int = 3, rate: float = 0.05, lanes: int = 16) -> DataFrame:
     """Train on the rows where ``held`` is not true, score all; one row per input row.
 
     Missing and empty texts are one end. Repeated rows are counted, trained on and scored each. With
-    no training row every word is unknown and the model is its start. Rows without a key train.
+    no training row every word is unknown and the model is its start. Rows without a key train. There are
+    ``lanes`` training lanes, and one more for every 2^24 training tokens beyond them, whatever the layout of the
+    input: scores differ between layouts by rounding only. A word that is not heavy is known by 64 bits of hash.
     """
     spark = ship(docs.sparkSession)
-    part = F.coalesce(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(rounds)), F.lit(0)).cast("int")
-    docs = docs.select(key, "text", (~held).alias("train"), part.alias("part"))
+    docs = docs.select(key, "text", (~held).alias("train"))
     counts = word_counts(docs)
     lex = lexicon(counts)
     shared, tag = spark.sparkContext.broadcast(lex), uuid.uuid4().hex
     weights = Weights.start(lex)
     flat, classes = weights.flat, weights.classes
     rows, end = numbered(docs, shared, tag, key), end_id(lex)
+    lanes = max(lanes, lex.tokens >> 24)
     for r in range(rounds):
-        flat = train_round(rows.where(F.col("train") & (F.col("part") == r)), end, flat, classes, rate / (1 + r))
+        flat = train_round(training_lanes(rows, lanes, key, rounds, r), end, flat, classes, rate / (1 + r))
     return score_rows(rows, counts, lex, flat, key).withColumn("train_tokens", F.lit(lex.tokens).cast("long"))

@@ -395,3 +395,17 @@ def test_gradient_by_differences():
     lambda s, d: token_blocks.read_tokens(s, token_blocks.write_tokens(d, P.path("byte_bpe_50k.json")))])
 def test_empty_table(spark, docs, make):
     assert make(spark, docs.limit(0)).count() == 0
+
+
+def test_language_model_does_not_depend_on_layout(spark):
+    """Two and eleven partitions, equal rows and rows without a key among them: the same scores."""
+    rows = [(i if i % 9 else None, " ".join(f"w{(i * j) % 50}" for j in range(i % 40)) + (f" rare{i}" if i % 3 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows + [(7, "the same row again")] * 60, "doc_id long, text string")
+    found = []
+    for n in (2, 11):
+        scored = gated_lm.language_model(docs.repartition(n), held_out(7, 2)).collect()
+        found.append(sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in scored))
+    assert len(found[0]) == len(found[1]) == 360
+    for a, b in zip(*found):
+        assert a[:3] == b[:3]
+        np.testing.assert_allclose(a[3:], b[3:], rtol=1e-4)
