@@ -409,3 +409,28 @@ def test_language_model_does_not_depend_on_layout(spark):
     for a, b in zip(*found):
         assert a[:3] == b[:3]
         np.testing.assert_allclose(a[3:], b[3:], rtol=1e-4)
+
+
+def test_token_counts_make_no_ids_of_irregular_white_space():
+    """Every joint of blanks, line ends and marks is cut into pre-tokens; the library sees whole texts for special strings only."""
+    path = P.path("byte_bpe_50k.json")
+    counts = token_counts.PieceCounts(path)
+    rng = np.random.default_rng(5)
+    bits = [" ", "  ", "\n", " \n", "\n ", "\t", "a", "Wort", "don't", "'s", "12", "é", "中文", "!", "..", "\x1c", "\x85", "\r\n", "́", "word.", "😀"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 14))) for _ in range(6000)] + [f"x {chr(k)} y{chr(k)}" for k in range(1, 0x3100)]
+    want = [len(e) for e in counts.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    seen = []
+    encode = counts.tokenizer.encode_batch_fast
+
+    class Watched:
+        pre_tokenizer = counts.tokenizer.pre_tokenizer
+
+        def encode_batch_fast(self, pieces, add_special_tokens):
+            seen.extend(pieces)
+            return encode(pieces, add_special_tokens=add_special_tokens)
+
+    counts.tokenizer = Watched()
+    doc, pre, times = counts.frequencies(texts)
+    assert len(set(zip(doc.tolist(), pre.tolist()))) == len(doc)
+    assert len(seen) == len(set(seen)) == len(counts.number)
+    assert np.bincount(doc, weights=times * counts.pieces[pre], minlength=len(texts)).astype(int).tolist() == want
